@@ -101,6 +101,10 @@ class Rolling:
         n = len(self.sums) - k
         return mix((self.sums[k:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, U64)
 
+    def grams_at(self, start: np.ndarray, k: int) -> np.ndarray:
+        """What grams(k) holds at these starts."""
+        return mix((self.sums[start + k] - self.sums[start]) * self.down[start])
+
 
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words in `data` (offsets[0] is 0 and offsets[-1] its length), and each row's first word's index."""

@@ -90,8 +90,9 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     edges = P.requested(marks, texts).select("doc", "text", "asked").mapInArrow(_edges(window), EDGE).repartition("a")
     order = Window.partitionBy("a", "b").orderBy("doc", "first")
     again = edges.withColumn("at", F.row_number().over(order)).filter("at > 1").select("doc", "first", F.lit(1).alias("n"))
-    spans = P.ranges(marks, again, window).withColumnRenamed("doc", key)
-    joined = rows.join(spans, key, "left").select(*docs.columns, "spans") if "spans" not in docs.columns else rows.join(spans.withColumnRenamed("spans", free_name(docs, "spans")), key, "left").drop(key)
+    spans_name = free_name(docs, "spans")
+    spans = P.ranges(marks, again, window).select(F.col("doc").alias(key), F.col("spans").alias(spans_name))
+    joined = rows.join(spans, key, "left").select(*docs.columns, spans_name)
     words, removed = free_name(docs, "n_words"), free_name(docs, "n_removed")
     schema = T.StructType([*docs.schema.fields, T.StructField(words, T.LongType()), T.StructField(removed, T.LongType())])
     return joined.mapInArrow(_removed(docs.columns.index(text_col), len(docs.columns), schema.names), schema)
