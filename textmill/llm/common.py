@@ -67,3 +67,11 @@ def keyed(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
 
 def arrow_schema(df: DataFrame, *extra: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in extra)])
+
+
+def bounded(rows: DataFrame, id_col: str, most: int) -> list:
+    """At most `most` rows, those of the least hash of their id, on the driver. Rows are thinned by hash before they are sorted."""
+    total = rows.select(id_col).count()
+    share = min(1.0, 1.3 * most / max(total, 1))
+    h = F.xxhash64(F.col(id_col).cast("string"))
+    return rows.filter(F.pmod(h, F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy(F.pmod(h, F.lit(1 << 20)), h, id_col).limit(most).collect()

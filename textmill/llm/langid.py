@@ -9,7 +9,7 @@ whose two least losses are close is flagged as ambiguous.
 Defined results: `und` with score 0 and ambiguous for null texts and texts without a letter; nulls among the labels
 are not learned; a language of the fewest rows is learned like the others; equal losses go to the smaller name;
 without any labelled row every document is `und`. Training uses at most `sample` labelled rows, those with the
-least hash of (id, text), and whole texts of them up to `sample_bytes` altogether; prediction reads every text whole.
+least hash of their id, and whole texts of them up to `sample_bytes` altogether; prediction reads every text whole.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import free_name
+from .common import bounded, free_name
 
 BUCKETS = 1 << 12
 SAMPLE, SAMPLE_BYTES = 2000, 12 << 20
@@ -146,15 +146,15 @@ def fit(texts: list[str], labels: list[str], epochs: int = 60) -> Model | None:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """Fits on a bounded sample: the rows of least hash, as many as fit in both bounds."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h"))
-    rows = rows.filter(F.octet_length("t") <= sample_bytes // 64)
+    rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"))
     texts, labels, size = [], [], 0
-    for r in rows.orderBy("h", "l").limit(sample).toLocalIterator():
+    for r in bounded(rows.filter(F.octet_length("t") <= sample_bytes // 64), "i", sample):
         size += len(r["t"].encode())
         if size > sample_bytes:
             break
-        texts.append(r["t"])
-        labels.append(r["l"])
+        if any(c.isalpha() for c in r["t"]):
+            texts.append(r["t"])
+            labels.append(r["l"])
     return fit(texts, labels)
 
 
