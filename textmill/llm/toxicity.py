@@ -29,7 +29,7 @@ from .langid import folded
 BITS = 22
 SAMPLE, SAMPLE_BYTES = 12_000, 24 << 20
 PREFIXES = (3, 4, 5, 6, 7, 8)
-LEAST_Z, MOST_FEATURES = 5.0, 4096
+LEAST_Z, MOST_FEATURES = 4.0, 4096
 STOP = np.isin(np.arange(256), [0x0A, 0x21, 0x2E, 0x3F])
 NOT_LETTER = np.zeros(256, bool)
 NOT_LETTER[0x20] = True
