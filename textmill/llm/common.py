@@ -52,21 +52,17 @@ def unique_ids(df: DataFrame, id_col: str) -> bool:
     return seen.filter((F.col("count") > 1) | F.col("k").isNull()).limit(1).count() == 0
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
-    """df with a long column `key` that is unique and orders rows by (id, nulls last; text, nulls last).
+def keyed(df: DataFrame, id_col: str, text_col: str, key: str) -> tuple[DataFrame, str]:
+    """df and the name of a long column that is unique, not null, and orders rows by (id, nulls last; text, nulls last).
 
-    The id itself where it is a unique integer. Otherwise rows are numbered in that order, which costs a range
+    The id itself where it is a unique long. Otherwise rows are numbered in that order as `key`, which costs a range
     shuffle; the numbered table is written, so that the numbers stay.
     """
-    if isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) and unique_ids(df, id_col):
-        return df.withColumn(key, F.col(id_col).cast("long"))
+    if isinstance(df.schema[id_col].dataType, T.LongType) and unique_ids(df, id_col):
+        return df.filter(F.col(id_col).isNotNull()), id_col  # stated, so that all joins shuffle the same rows and can share it
     rest = [c for c in df.columns if c not in (id_col, text_col) and not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
     ordered = df.orderBy(F.col(id_col).asc_nulls_last(), F.col(text_col).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in rest])
-    return written(ordered.withColumn(key, F.monotonically_increasing_id()))
-
-
-def arrow_schema(df: DataFrame, *extra: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in extra)])
+    return written(ordered.withColumn(key, F.monotonically_increasing_id())), key
 
 
 def bounded(rows: DataFrame, id_col: str, most: int) -> list:

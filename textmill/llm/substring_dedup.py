@@ -83,11 +83,10 @@ def _removed(text: int, spans: int, out: pa.Schema):
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = KMER) -> DataFrame:
     """docs with `text_col` cut to the words that no earlier window covers, and n_words and n_removed (a name in use is lengthened)."""
-    key = free_name(docs, "_key")
-    rows = keyed(docs, id_col, text_col, key)
-    texts = rows.select(F.col(key).alias("doc"), F.col(text_col).alias("text"))
+    rows, key = keyed(docs, id_col, text_col, free_name(docs, "_key"))
+    texts = rows.select(key, text_col)  # not renamed: both joins then share one shuffle of the texts
     marks = P.marked_paths(texts, "words", window, k)
-    edges = P.requested(marks, texts).select("doc", "text", "asked").mapInArrow(_edges(window), EDGE).repartition("a")
+    edges = P.requested(marks, texts).select(key, text_col, "asked").mapInArrow(_edges(window), EDGE).repartition("a")
     order = Window.partitionBy("a", "b").orderBy("doc", "first")
     again = edges.withColumn("at", F.row_number().over(order)).filter("at > 1").select("doc", "first", F.lit(1).alias("n"))
     spans_name = free_name(docs, "spans")

@@ -170,11 +170,10 @@ def _removed(text: int, spans: int, names: list[str]):
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = KMER) -> DataFrame:
     """docs with kept (binary: the bytes that no earlier window covers), n_bytes, n_removed and n_spans (a name in use is lengthened)."""
-    key = free_name(docs, "_key")
-    rows = keyed(docs, id_col, text_col, key)
-    texts = rows.select(F.col(key).alias("doc"), F.col(text_col).alias("text"))
+    rows, key = keyed(docs, id_col, text_col, free_name(docs, "_key"))
+    texts = rows.select(key, text_col)  # not renamed: both joins then share one shuffle of the texts
     marks = P.marked_paths(texts, "bytes", window, k)
-    pieces = P.requested(marks, texts).select("doc", "text", "asked").mapInArrow(_pieces(window, k), PIECE)
+    pieces = P.requested(marks, texts).select(key, text_col, "asked").mapInArrow(_pieces(window, k), PIECE)
     again = pieces.repartition("route").sortWithinPartitions("route").mapInArrow(_shards(window, SHARD_BYTES), "doc long, first int, n int")
     spans_name = free_name(docs, "spans")
     spans = P.ranges(marks, again, window).select(F.col("doc").alias(key), F.col("spans").alias(spans_name))

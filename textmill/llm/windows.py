@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import written
 
-PATH = "gram long, whole long, doc long, first int, n int, known boolean"
+#: at: the first window, 31 bits, and the number of windows, 31 bits; known: see path_finder.
+PATH = "gram long, whole long, doc long, at long, known boolean"
 
 
 def units(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -78,11 +79,10 @@ def path_finder(kind: str, window: int, k: int) -> Callable[[Iterator[pa.RecordB
                     K.long_array(np.concatenate([gram[lead], K.mix(d.astype(K.U64) + K.U64(1))])),
                     K.long_array(np.concatenate([whole[lead], s.astype(K.U64)])),
                     pa.array(np.concatenate([doc[lead], d])),
-                    pa.array(np.concatenate([first[lead], s]).astype(np.int32)),
-                    pa.array(np.concatenate([n[lead], e - s]).astype(np.int32)),
+                    pa.array((np.concatenate([first[lead], s]) << 31) | np.concatenate([n[lead], e - s])),
                     pa.array(np.arange(lead.sum() + len(d)) >= lead.sum()),
                 ],
-                names=["gram", "whole", "doc", "first", "n", "known"],
+                names=["gram", "whole", "doc", "at", "known"],
             )
 
     return run
@@ -94,17 +94,19 @@ def marked_paths(texts: DataFrame, kind: str, window: int, k: int) -> DataFrame:
     Columns gram, doc, first, n, branching; written to the shared folder.
     """
     paths = texts.mapInArrow(path_finder(kind, window, k), PATH).repartition("gram")
-    same = Window.partitionBy("gram", "whole").orderBy("known", "doc", "first")
+    same = Window.partitionBy("gram", "whole").orderBy("known", "doc", "at")
     node = Window.partitionBy("gram")
-    seen = paths.withColumn("at", F.row_number().over(same)).withColumn("branching", F.min("whole").over(node) != F.max("whole").over(node))
-    repeat = F.col("known") | (F.col("at") > 1)
-    return written(seen.filter(repeat | F.col("branching")).select("gram", "doc", "first", "n", (~repeat).alias("branching")))
+    seen = paths.withColumn("turn", F.row_number().over(same)).withColumn("branching", F.min("whole").over(node) != F.max("whole").over(node))
+    repeat = F.col("known") | (F.col("turn") > 1)
+    first, n = F.shiftright("at", 31), F.col("at").bitwiseAND(F.lit((1 << 31) - 1))
+    return written(seen.filter(repeat | F.col("branching")).select("gram", "doc", first.cast("int").alias("first"), n.cast("int").alias("n"), (~repeat).alias("branching")))
 
 
 def requested(marks: DataFrame, texts: DataFrame) -> DataFrame:
-    """Texts that hold branching paths, with the list of these paths. One row per document; a list is as long as its text at most."""
-    asked = marks.filter("branching").groupBy("doc").agg(F.collect_list(F.struct("gram", "first", "n")).alias("asked"))
-    return texts.join(asked, "doc")
+    """Texts (key, text) that hold branching paths, with the list `asked` of these paths. One row per document; a list is as long as its text at most."""
+    key = texts.columns[0]
+    asked = marks.filter("branching").groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("gram", "first", "n")).alias("asked"))
+    return texts.join(asked, key)
 
 
 def ranges(marks: DataFrame, windows: DataFrame, window: int) -> DataFrame:
