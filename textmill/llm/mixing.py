@@ -170,7 +170,8 @@ def drawn_slots(docs: DataFrame, slots: list[int], blocks: list[int], shard_slot
                     [pa.array(np.full(len(source), shard)), pa.array(slot), pa.array(source.astype(np.int32)), pa.array(held)], names=["shard", "slot", "_source", "block"]
                 )
 
-    return spark.createDataFrame(rows, schema).repartition("shard").mapInArrow(fill, "shard long, slot long, _source int, block long")
+    tasks = max(1, min(len(rows), int(spark.conf.get("spark.sql.shuffle.partitions"))))  # stated, or the few small rows end in one task
+    return spark.createDataFrame(rows, schema).repartition(tasks, "shard").mapInArrow(fill, "shard long, slot long, _source int, block long")
 
 
 def packed_text(docs: DataFrame, id_col: str, text_col: str, pieces: DataFrame, slots: DataFrame) -> DataFrame:
