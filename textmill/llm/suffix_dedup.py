@@ -29,7 +29,7 @@ from .induced import END, SEPARATOR, SHIFT, Sorter
 
 WINDOW, KMER = 100, 50
 PIECE = "route long, doc long, first int, body binary"
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 def _pieces(window: int, k: int):

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import written
 
+#: Text whose equal paths are made one row before they are shuffled.
+GATHERED_BYTES = 12 << 20
 #: at: the first window, 31 bits, and the number of windows, 31 bits; known: see path_finder.
 PATH = "gram long, whole long, doc long, at long, known boolean"
 
@@ -54,36 +56,40 @@ def path_finder(kind: str, window: int, k: int) -> Callable[[Iterator[pa.RecordB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            data, offsets = K.buffers(batch.column(1))
-            found: list[tuple] = []
-            for i, j in K.blocks(offsets):
-                codes, rows = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], kind)
-                g = K.super_grams(codes, rows, window, k)
-                found.append((g["gram"], g["whole"], ids[i:j][g["row"]], g["first"], g["n"]))
-            if not found:
-                continue
-            gram, whole, doc, first, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            lead = _firsts(gram, whole, doc, first)
-            again = ~lead
-            d, s, e = doc[again], first[again], (first + n)[again]
-            order = np.lexsort((s, d))
-            d, s, e = d[order], s[order], e[order]
-            new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (s[1:] > e[:-1])  # paths of a document follow one another without overlap
-            at = np.flatnonzero(new)
-            last = np.append(at[1:], len(d)) - 1 if len(d) else at
-            d, s, e = d[at], s[at], e[last]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    K.long_array(np.concatenate([gram[lead], K.mix(d.astype(K.U64) + K.U64(1))])),
-                    K.long_array(np.concatenate([whole[lead], s.astype(K.U64)])),
-                    pa.array(np.concatenate([doc[lead], d])),
-                    pa.array((np.concatenate([first[lead], s]) << 31) | np.concatenate([n[lead], e - s])),
-                    pa.array(np.arange(lead.sum() + len(d)) >= lead.sum()),
-                ],
-                names=["gram", "whole", "doc", "at", "known"],
-            )
+            for lo, hi in K.blocks(K.buffers(batch.column(1))[1], GATHERED_BYTES):
+                yield from gathered(batch.slice(lo, hi - lo))
+
+    def gathered(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        data, offsets = K.buffers(batch.column(1))
+        found: list[tuple] = []
+        for i, j in K.blocks(offsets):
+            codes, rows = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], kind)
+            g = K.super_grams(codes, rows, window, k)
+            found.append((g["gram"], g["whole"], ids[i:j][g["row"]], g["first"], g["n"]))
+        if not found:
+            return
+        gram, whole, doc, first, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        lead = _firsts(gram, whole, doc, first)
+        again = ~lead
+        d, s, e = doc[again], first[again], (first + n)[again]
+        order = np.lexsort((s, d))
+        d, s, e = d[order], s[order], e[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (s[1:] > e[:-1])  # paths of a document follow one another without overlap
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(d)) - 1 if len(d) else at
+        d, s, e = d[at], s[at], e[last]
+        yield pa.RecordBatch.from_arrays(
+            [
+                K.long_array(np.concatenate([gram[lead], K.mix(d.astype(K.U64) + K.U64(1))])),
+                K.long_array(np.concatenate([whole[lead], s.astype(K.U64)])),
+                pa.array(np.concatenate([doc[lead], d])),
+                pa.array((np.concatenate([first[lead], s]) << 31) | np.concatenate([n[lead], e - s])),
+                pa.array(np.arange(lead.sum() + len(d)) >= lead.sum()),
+            ],
+            names=["gram", "whole", "doc", "at", "known"],
+        )
 
     return run
 
