@@ -180,7 +180,9 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     nodes = held.filter("n = 1").select("id", "v", F.size("v").alias("dim"))
     sizes = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
     sharded = nodes.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")).select("dim", "shard", "id", "v")
-    graphs = written(sharded.groupBy("dim", "shard").applyInArrow(_graphs(degree, beam, alpha), GRAPH))
+    shards = sizes.agg(F.sum("shards")).first()[0] or 1
+    # a stated number of partitions, or the few small rows of all shards end in one task
+    graphs = written(sharded.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(_graphs(degree, beam, alpha), GRAPH))
     return graphs, held.select("node", "id")
 
 
@@ -212,7 +214,7 @@ def nearest(graphs: DataFrame, members: DataFrame, queries: DataFrame, id_col: s
     asked = q.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("asked"))  # about `block` queries
     shards = graphs.select("dim", "shard")
     work = asked.join(shards, "dim")  # a row per block and shard
-    work = work.repartition("dim", "shard", "block").join(graphs, ["dim", "shard"]).select("dim", "ids", "vectors", "edges", "entry", "asked")
+    work = work.join(graphs, ["dim", "shard"]).repartition(max(1, graphs.count()) * max(1, -(-total // block)), "dim", "shard", "block").select("dim", "ids", "vectors", "edges", "entry", "asked")
     found = work.mapInArrow(_answers(k, beam), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node")
     top = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)

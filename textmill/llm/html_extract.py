@@ -2,10 +2,10 @@
 
 Parser events are cut into lines at block elements; a line has its text, its number of tags, and the element that
 holds it. The ratio of text to tags per line is smoothed with a Gaussian and split into two clusters by a threshold;
-lines of the upper cluster are content. A page's region is the article (or, without one, main) elements that hold
-content; without either, the lines from the first content line to the last of each run of content. Within a region
-every block is kept, however short, except in elements that are never main text (menus, headers, footers, sidebars,
-forms, scripts, styles) or are named as notices, adverts or comments.
+lines of the upper cluster are content. Elements that are never main text (menus, headers, footers, sidebars, forms,
+scripts, styles) or are named as notices, adverts or comments have no lines. Where a page says what its text is, by
+article or else main elements, these are its regions and all their lines are kept, however short: the ratio knows
+less than the mark-up. Without them the regions are the runs of content lines.
 
 Defined results: null, empty and textless pages give an empty text; broken markup is read as far as it goes (an
 element that isn't closed ends with its parent, an end tag without a start is passed over); character references
@@ -179,14 +179,10 @@ def content(texts: list[str], tags: list[int], regions: list[int], kinds: list[s
     ratio = np.log1p(np.array([len(t) for t in texts]) / np.maximum(1, np.array(tags)))
     smooth = smoothed(ratio, sigma)
     high = smooth >= min(threshold(smooth), float(smooth.max()))
-    region = np.array(regions)
     for kind in ("article", "main"):
         inside = np.array([r >= 0 and kinds[r] == kind for r in regions])
-        if kind == "main":
-            inside = region >= 0
         if inside.any():
-            held = inside & high
-            return inside & np.isin(region, region[held]) if held.any() else inside
+            return inside
     return high
 
 

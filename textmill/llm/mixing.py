@@ -60,7 +60,7 @@ def shard_counts(slots: list[int], shard_slots: int, seed: int) -> np.ndarray:
         take = left.copy() if n == left.sum() else np.minimum(rng.multinomial(n, left / left.sum()), left)
         out.append(take)
         left = left - take
-    return np.array(out, np.int64).reshape(-1, len(slots))
+    return np.array(out, np.int64).reshape(len(out), len(slots))
 
 
 def _keys(source: int, epoch: int, seed: int) -> list[int]:
