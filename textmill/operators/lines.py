@@ -25,22 +25,30 @@ def rejoined(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return lines.groupBy(id_col).agg(F.array_join(F.transform(pairs, lambda p: p["line"]), "\n").alias("text"))
 
 
-def _order(id_col: str) -> Window:
-    return Window.partitionBy(id_col).orderBy("line_idx")
+Keys = str | list[str]
 
 
-def noise_runs(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def _keys(id_col: Keys) -> list[str]:
+    """The columns whose lines belong together: the document, or document and stage (then dead lines are apart)."""
+    return [id_col] if isinstance(id_col, str) else id_col
+
+
+def _order(id_col: Keys) -> Window:
+    return Window.partitionBy(*_keys(id_col)).orderBy("line_idx")
+
+
+def noise_runs(lines: DataFrame, id_col: Keys = "doc_id") -> DataFrame:
     """lines with kind (single, axis or other), run, run_length and noise (8 single-character lines or 4 axis lines in a row)."""
     order = _order(id_col)
     kind = F.when(X.is_single(F.col("line")), "single").when(X.is_axis(F.col("line")), "axis").otherwise("other")
     out = lines.withColumn("kind", kind)
     out = out.withColumn("run", F.sum(F.coalesce((F.lag("kind").over(order) != F.col("kind")).cast("int"), F.lit(0))).over(order))
-    out = out.withColumn("run_length", F.count(F.lit(1)).over(Window.partitionBy(id_col, "run")))
+    out = out.withColumn("run_length", F.count(F.lit(1)).over(Window.partitionBy(*_keys(id_col), "run")))
     noise = ((F.col("kind") == "single") & (F.col("run_length") >= 8)) | ((F.col("kind") == "axis") & (F.col("run_length") >= 4))
     return out.withColumn("noise", noise)
 
 
-def blocks(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def blocks(lines: DataFrame, id_col: Keys = "doc_id") -> DataFrame:
     """lines with block (0-based; null outside). A page marker opens a block, a separator or a second blank line ends it."""
     order = _order(id_col)
     line = F.col("line")
@@ -48,30 +56,30 @@ def blocks(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     out = out.withColumn("ends", X.is_separator(line) | (F.col("blank") & F.coalesce(F.lag("blank").over(order), F.lit(False))))
     out = out.withColumn("island", F.sum((F.col("ends") | X.is_page_marker(line)).cast("int")).over(order))
     filled = (~F.col("blank") & ~F.col("ends")).cast("int")
-    island = Window.partitionBy(id_col, "island")
+    island = Window.partitionBy(*_keys(id_col), "island")
     out = out.withColumn("n", F.sum(filled).over(island)).withColumn("before", F.sum(filled).over(island.orderBy("line_idx")))
     inside = ~F.col("ends") & (F.col("before") > 0) & (F.col("n") >= BLOCK_LINES)
     out = out.withColumn("at", F.when(inside, F.col("island")))
-    opens = F.col("at").isNotNull() & (F.row_number().over(Window.partitionBy(id_col, "at").orderBy("line_idx")) == 1)
+    opens = F.col("at").isNotNull() & (F.row_number().over(Window.partitionBy(*_keys(id_col), "at").orderBy("line_idx")) == 1)
     out = out.withColumn("opens", opens.cast("int")).withColumn("block", F.when(F.col("at").isNotNull(), F.sum("opens").over(order) - 1))
     return out.select(*lines.columns, "blank", F.col("block").cast("int").alias("block"))
 
 
-def header_footer(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def header_footer(lines: DataFrame, id_col: Keys = "doc_id") -> DataFrame:
     """lines with block, repeat_count, edge_hit_ratio and running (a header or footer that repeats over the blocks)."""
     held = blocks(lines, id_col)
     key = X.key_of(F.col("line"))
     used = F.col("block").isNotNull() & ~F.col("blank")
     held = held.withColumn("used", used).withColumn("key", F.when(used, key))
-    page = Window.partitionBy(id_col, "block", "used")
+    page = Window.partitionBy(*_keys(id_col), "block", "used")
     held = held.withColumn("top", F.row_number().over(page.orderBy("line_idx"))).withColumn("bottom", F.row_number().over(page.orderBy(F.col("line_idx").desc())))
     fits = F.length("key").between(LEAST_KEY, MOST_KEY) & ~X.matches(F.col("key"), X.S.CAPTION, True) & ~X.is_guarded(F.col("key")) & ~X.is_navigation(F.col("key"))
     edge = F.col("used") & ((F.col("top") <= EDGE_LINES) | (F.col("bottom") <= EDGE_LINES)) & fits
     held = held.withColumn("edge", F.coalesce(edge, F.lit(False)))
-    same = Window.partitionBy(id_col, "key")
+    same = Window.partitionBy(*_keys(id_col), "key")
     held = held.withColumn("everywhere", F.size(F.collect_set(F.when(F.col("used"), F.col("block"))).over(same)))
     held = held.withColumn("edges", F.size(F.collect_set(F.when(F.col("edge"), F.col("block"))).over(same)))
-    held = held.withColumn("blocks", F.max("block").over(Window.partitionBy(id_col)) + 1)
+    held = held.withColumn("blocks", F.max("block").over(Window.partitionBy(*_keys(id_col))) + 1)
     share = F.col("edges") / F.col("blocks")
     running = F.col("edge") & (F.col("blocks") >= 2) & (F.col("edges") >= LEAST_BLOCKS) & (F.col("edges") == F.col("everywhere")) & (share >= PRESENCE)
     held = held.withColumn("running", F.coalesce(running, F.lit(False)))
@@ -85,21 +93,25 @@ def references_cut(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def decided(lines: DataFrame, id_col: str = "doc_id", bullet: str = "•") -> DataFrame:
-    """lines with action, category, confidence and out (the kept line), all stages switched on; each stage sees what the one before left."""
-    rows = lines.withColumn("category", F.when(X.is_boilerplate(F.col("line")), "boilerplate"))
-
-    def staged(rows: DataFrame, stage, flag: str, category: str) -> DataFrame:
-        live = stage(rows.filter("category IS NULL").select(id_col, "line_idx", "line"), id_col).filter(flag).select(id_col, "line_idx", F.lit(category).alias("hit"))
-        return rows.join(live, [id_col, "line_idx"], "left").withColumn("category", F.coalesce("category", "hit")).drop("hit")
-
-    rows = staged(rows, noise_runs, "noise", "layout_noise")
-    rows = rows.withColumn("category", F.coalesce("category", F.when(X.is_navigation(F.col("line")), "toc_navigation")))
-    rows = staged(rows, header_footer, "running", "header_footer")
-    head = (F.col("category").isNull() & X.is_reference_head(F.col("line"))).cast("int")
-    rows = rows.withColumn("head", F.max(head).over(_order(id_col)))
-    rows = rows.withColumn("category", F.coalesce("category", F.when(F.col("head") == 1, "references_section"), F.when(X.is_dotted(F.col("line")), "toc"), F.lit("other"))).drop("head")
-    dropped: Column = F.col("category") != "other"
-    return rows.withColumn("action", F.when(dropped, "drop").otherwise("keep")).withColumn("out", F.when(~dropped, X.bullets(F.col("line"), bullet)))
+    """lines with action, category and out (the kept line), all stages switched on; each stage sees what the one before left.
+
+    Lines that are out already are in window partitions of their own, so no stage needs a join: one exchange in all.
+    """
+    line = F.col("line")
+    columns = [*lines.columns, "category", "live"]
+
+    def dropped(rows: DataFrame, hit: Column, category: str) -> DataFrame:
+        rows = rows.withColumn("category", F.when(F.col("live") & hit, category).otherwise(F.col("category")))
+        return rows.withColumn("live", F.col("category") == "other").select(*columns)
+
+    rows = lines.repartition(id_col).withColumn("category", F.lit("other")).withColumn("live", F.lit(True))
+    rows = dropped(rows, X.is_boilerplate(line), "boilerplate")
+    rows = dropped(noise_runs(rows, [id_col, "live"]), F.col("noise"), "layout_noise")
+    rows = dropped(rows, X.is_navigation(line), "toc_navigation")
+    rows = dropped(header_footer(rows, [id_col, "live"]), F.col("running"), "header_footer")
+    rows = dropped(rows.withColumn("tail", F.max(X.is_reference_head(line).cast("int")).over(_order([id_col, "live"]))), F.col("tail") == 1, "references_section")
+    rows = dropped(rows, X.is_dotted(line), "toc")
+    return rows.select(*lines.columns, F.when(F.col("live"), "keep").otherwise("drop").alias("action"), "category", F.when(F.col("live"), X.bullets(line, bullet)).alias("out"))
 
 
 def counters(decisions: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -27,9 +27,9 @@ _PAGES = "\n\n\n".join(
 _PARTS = [
     (2, 0, "\n• first item\n-second   item\n * third\titem\n|  a |  b |\n| 1  | 2 |\n\n\n\nend of   list  \n"),
     (3, 0, "\nCONTENTS  METHODS  RESULTS  INDEX\nIntroduction ........ 23\nFig. 3 ..... 7\nplain  columns  are  here\n"),
-    (4, 1, "\nglyph<c12> (cid:34) x y ​zero‍ � end &amp; &lt;b&gt; &quot;q&quot; glyph&lt;a&gt;\n“quoted” – it’s‧\nre-\nturn a b c d e f\nsoooooo long\n"),
+    (4, 1, "\nglyph<c12> (cid:34) \uf0b7x \ue001y \u200bzero\u200d \ufffd end &amp; &lt;b&gt; &quot;q&quot; glyph&lt;a&gt;\n“quoted” – it’s‧\nre-\nturn a b c d e f\nsoooooo long\n"),
     (5, 2, "\na\nb\nc\nd\ne\nf\ng\n8\n9\nend of labels\n"),
-    (5, 3, "\n0.10 0.20 0.30 0.40\n0.50,0.60,0.70,0.80\n1.10 1.20 1.30 1.40\n2.10 2.20 2.30 2.40\n12.5 km 13.5 km 14.5 km\nFigure 3: 0.1 0.2 0.3 0.4\n1 2 3\n"),
+    (5, 3, "\n0.1010 0.2020 0.3030 0.4040\n0.50,0.60,0.70,0.80\n1.1010 1.2020 1.3030\n2.1010 2.2020 2.3030\n12.5 km 13.5 km 14.5 km\nFigure 3: 0.1 0.2 0.3 0.4\n1 2 3\n"),
     (6, 1, "\n\n\n" + _PAGES + "\n\n\n"),
     (7, 3, "\nReferences\n[1] Smith, J. First work\n2. Second work\nJones, A. Third work\n[4] Fourth\n[5] Fifth\n[6] Sixth\n"),
     (8, 2, "\narXiv:1234.5678v2 [cs]\nSubmitted to the journal\nArticle number, page 3 of 12\npage 4 of 9\n======\nMethods and Results\n"),
