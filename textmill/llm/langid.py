@@ -27,10 +27,10 @@ from . import kernels as K
 from .common import bounded, free_name
 
 BUCKETS = 1 << 12
-SAMPLE, SAMPLE_BYTES = 2000, 12 << 20
+SAMPLE, SAMPLE_BYTES = 1500, 8 << 20
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
-AMBIGUOUS = 0.6
+AMBIGUOUS = 0.5
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -126,16 +126,17 @@ def fit(texts: list[str], labels: list[str], epochs: int = 60) -> Model | None:
     body = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in body])])
     data = np.frombuffer(b"".join(body), np.uint8)
-    parts = [counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in K.blocks(offsets)]
-    x = np.concatenate(parts)
-    scale = np.sqrt((x * x).mean(axis=0)) + 1e-4
+    x = np.zeros((len(body), len(ORDERS) * BUCKETS), np.float32)
+    for i, j in K.blocks(offsets, 1 << 18):
+        x[i:j] = counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+    scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-4
     x /= scale
     y = code[np.searchsorted(languages, labels)].astype(np.float32)
     w, bias = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     share = np.array([labels.count(v) for v in languages], np.float32)
     row_weight = (1 / share)[np.searchsorted(languages, labels)][:, None]
     row_weight /= row_weight.sum()
-    rate = 8.0 / float((x * x).sum(axis=1).mean())
+    rate = 8.0 / float(np.einsum("ij,ij->", x, x) / len(x))
     for _ in range(epochs):
         pull = row_weight * y / (1 + np.exp(np.clip(y * (x @ w + bias), -30, 30)))
         w += rate * (x.T @ pull)

@@ -27,7 +27,7 @@ from .common import bounded, free_name
 from .langid import folded
 
 BITS = 22
-SAMPLE, SAMPLE_BYTES = 12_000, 24 << 20
+SAMPLE, SAMPLE_BYTES = 8000, 16 << 20
 PREFIXES = (3, 4, 5, 6, 7, 8)
 LEAST_Z, MOST_FEATURES = 4.0, 4096
 STOP = np.isin(np.arange(256), [0x0A, 0x21, 0x2E, 0x3F])
