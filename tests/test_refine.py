@@ -174,6 +174,11 @@ def test_sources_and_sinks(spark, tmp_path):
     io.write_xlsx(tmp_path / "t.xlsx", {"one": spark.createDataFrame([(1, "a<b", None, True, float("nan"))], "i int, s string, n string, b boolean, f double")})
     sheet = zipfile.ZipFile(tmp_path / "t.xlsx").read("xl/worksheets/sheet1.xml").decode()
     assert "a&lt;b" in sheet and 't="b"' in sheet and "C2" not in sheet
+    rows = spark.createDataFrame([("d", 3, "a\nb")], "doc_id string, chunk_index int, chunk string")
+    row = io.index_rows(rows, "raw").select("index_id", io.snippet(F.col("chunk"), 2).alias("s")).first()
+    assert (row.index_id, row.s) == ("d__raw__3", "a ")
+    io.write_texts(spark.createDataFrame([("x\ny",)], "text string"), str(tmp_path / "o"))
+    assert "".join(p.read_text() for p in (tmp_path / "o").glob("*.txt")) == "x\ny\n"
     assert [io.column_name(i) for i in (1, 26, 27, 703)] == ["A", "Z", "AA", "AAA"]
     assert io.html_strings("<p>a<script>x</script>b</p>") == "a\nb"
     assert spark.range(1).select(io.doc_id_of(F.lit("https://a.b/c?d=é"))).first()[0] == "https_a_b_c_d_é"

@@ -160,6 +160,14 @@ def is_axis(line: Column) -> Column:
     return (n >= 12) & ~matches(bare, S.CAPTION, True) & ~matches(bare, S.UNITS, True) & (F.regexp_count(bare, lit("[A-Za-z]{3,}")) < 3) & dense
 
 
+def is_layout_noise(line: Column) -> Column:
+    """Looser than is_axis, with neither captions nor units spared; for reports."""
+    bare = stripped(line)
+    letters, digits, punctuation, spaces = tally(bare)
+    n, marks = F.length(bare), ratio(digits + punctuation, bare)
+    return is_single(line) | ((n >= 12) & (((spaces <= 1) & (n >= 30) & (marks >= 0.65)) | ((marks >= 0.75) & (ratio(letters, bare) <= 0.10))))
+
+
 def is_navigation(line: Column) -> Column:
     columns = F.filter(F.split(stripped(line), "(?U)\\s{2,}"), lambda c: c != "")
     upper = lambda w: F.regexp_like(w, lit("[A-Z]")) & ~F.regexp_like(w, lit("[a-z]")) & (F.length(w) >= 3)

@@ -197,6 +197,17 @@ PROFILE = (
     "WHEN signals >= 2 OR (signals >= 1 AND hyphens >= 2) THEN 'pdf_like' "
     "WHEN (odd >= 0.0025 AND short >= 0.45) OR (runs >= 3 AND short >= 0.40) OR (broken >= 6 AND short >= 0.45) OR (single >= 0.10 AND short >= 0.55) THEN 'ocr_like' ELSE 'unknown' END AS profile FROM f LEFT JOIN m USING (doc_id))"
 )
+NOISE = f"({SINGLE} OR (length({BARE}) >= 12 AND (({count(BARE, chr(92) + 's')} <= 1 AND length({BARE}) >= 30 AND {_MARKS} >= 0.65) OR ({_MARKS} >= 0.75 AND {_LETTERS} <= 0.10))))"
+OVERVIEW = (
+    LINES + ", " + BLOCKS.replace("{l}", "l") + f", e0 AS (SELECT doc_id, text FROM documents), {_lines('e0', 'k')}, "
+    "pk AS (SELECT doc_id, block, line_idx, " + KEY + " AS key FROM le WHERE " + KEY + " <> ''), "
+    "pe AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY line_idx) AS top, row_number() OVER (PARTITION BY doc_id, block ORDER BY line_idx DESC) AS bottom FROM pk), "
+    "pp AS (SELECT doc_id, key, count(DISTINCT block) FILTER (top <= 2 OR bottom <= 2) AS edges, count(DISTINCT block) AS pages FROM pe GROUP BY ALL), "
+    "b AS (SELECT doc_id, " + KEY + " AS key, count(*) AS n FROM l WHERE length(" + KEY + ") >= 2 GROUP BY ALL), a AS (SELECT doc_id, " + KEY + " AS key, count(*) AS n FROM k WHERE length(" + KEY + ") >= 2 GROUP BY ALL), "
+    "x AS (SELECT doc_id, key AS line, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after, coalesce(edges, 0) AS edges, coalesce(pages, 0) AS pages FROM a FULL JOIN b USING (doc_id, key) LEFT JOIN pp USING (doc_id, key) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)), "
+    "y AS (SELECT *, n_before > 0 AND n_after = 0 AS removed FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (n_before > 0 AND n_after = 0) DESC, abs(n_before - n_after) DESC, n_before DESC, line DESC) <= 400) "
+    "SELECT doc_id, line AS key, n_before, n_after, removed, CASE WHEN " + DOTTED + " THEN 'toc' WHEN " + BOILERPLATE + " THEN 'boilerplate' WHEN pages > 0 AND edges / pages >= 0.6 AND n_before >= 3 THEN 'header_footer' ELSE 'other' END AS category FROM y"
+)
 FLAGS = {
     "boilerplate": BOILERPLATE, "single": SINGLE, "axis": AXIS, "navigation": navigation("line"), "dotted": DOTTED, "page_marker": MARKER, "separator": SEPARATOR, "reference_head": HEAD,
     "reference_name": f"lower({BARE}) IN {NAMES}", "reference_entry": ENTRY, "is_table": TABLE, "terminal": terminal("line"), "lower_start": "regexp_matches(line, '^[^\\p{L}\\p{Nd}]*\\p{Ll}')",
@@ -254,6 +265,18 @@ def oracle_sql() -> dict[str, str]:
         "SELECT doc_id, line, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after FROM a FULL JOIN b USING (doc_id, line) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)",
         "lines_added": f"WITH {D}, e AS (SELECT doc_id, text FROM documents), {_lines()}, {_lines('e', 'k')} SELECT doc_id, line_idx, line FROM l ANTI JOIN k USING (doc_id, line)",
         "lines_frequent": f"{LINES} SELECT {KEY} AS key, count(*) AS n FROM l WHERE {KEY} <> '' GROUP BY 1 HAVING count(*) >= 5",
+        "chunks_collapsed": f"WITH {D}, g AS (SELECT doc_id, {strip(gaps.format('text'))} AS text FROM d), {CHUNKS.replace('{i}', 'g').replace('{o}', 'k')} SELECT doc_id, chunk_index, md5(chunk) AS chunk_md5 FROM k",
+        "line_layout_noise": f"{LINES} SELECT doc_id, line_idx, {NOISE} AS noise, {BARE} = '' OR regexp_matches(lower(line), '{P.BOILERPLATE_TERMS}') OR {DOTTED} OR {BOILERPLATE} AS boilerplate FROM l",
+        "line_overview": OVERVIEW,
+        "line_dropped": f"{DECIDED} SELECT doc_id, line_idx, category, line, array_to_string(list_transform(CASE WHEN line = '' THEN [] ELSE string_split(line, '') END, lambda c: 'U+' || CASE WHEN unicode(c) < 65536 THEN lpad(hex(unicode(c)), 4, '0') ELSE hex(unicode(c)) END), ' ') AS codepoints FROM c WHERE category <> 'other'",
+        "retrieval_chunk_metrics": f"{TOPK}, e AS (SELECT qid, doc_id AS expected FROM t WHERE rank = 4), m AS (SELECT e.qid, min(rank) AS place FROM e JOIN t ON e.qid = t.qid AND t.doc_id = expected GROUP BY e.qid) SELECT qid, round(1.0::DOUBLE / place, 9) AS mrr, "
+        + ", ".join(f"(place <= {k})::INT AS recall_{k}" for k in (1, 5, 10)) + " FROM m",
+        "retrieval_best_chunk": f"WITH {C}, {CHUNKS.replace('{i}', 'd').replace('{o}', 'k')}, a AS (SELECT doc_id, substring(text, 1000, 200) AS answer FROM d), "
+        f"s AS (SELECT doc_id AS qid, chunk_index, contains(lower(chunk), lower(answer)) AND length(answer) > 0 AS holds, list_distinct(list_transform(regexp_extract_all(answer, '{P.TOKEN}'), lambda x: lower(x))) AS w, list_distinct(list_transform(regexp_extract_all(chunk, '{P.TOKEN}'), lambda x: lower(x))) AS c FROM k JOIN a USING (doc_id)), "
+        "r AS (SELECT qid, chunk_index, holds, len(list_intersect(w, c)) / greatest(len(w), 1) AS share FROM s) "
+        "SELECT qid, chunk_index, holds FROM r WHERE holds OR share > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY holds DESC, CASE WHEN NOT holds THEN -share END, chunk_index) = 1",
+        "retrieval_extremes": f"{VARIANTS}, z AS (SELECT qid, variant, round(delta, 9) AS delta FROM c), i AS (SELECT 'improvements' AS section, variant, row_number() OVER (PARTITION BY variant ORDER BY delta DESC, qid)::INT AS n, qid, delta FROM z UNION ALL SELECT 'regressions', variant, row_number() OVER (PARTITION BY variant ORDER BY delta, qid)::INT, qid, delta FROM z) SELECT * FROM i WHERE n <= 10",
+        "retrieval_best_variant": f"{VARIANTS} SELECT variant, round(avg(mrr), 9) AS mrr FROM x GROUP BY variant ORDER BY round(avg(mrr), 12) DESC, variant LIMIT 1",
         "text_totals": f"{LINES}, s AS ({_safe('l')}), t AS (SELECT doc_id, length(text) AS a, length({gaps.format('safe')}) AS b FROM d JOIN s USING (doc_id)) "
         "SELECT count(*) AS docs, sum(a)::BIGINT AS before, sum(b)::BIGINT AS after, round(sum(b) / sum(a), 9) AS ratio, arg_max(doc_id, (a - b, -doc_id)) AS most_compressed FROM t",
     }

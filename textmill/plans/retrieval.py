@@ -117,8 +117,10 @@ def is_acronym(token: Column) -> Column:
     return F.regexp_like(token, F.lit("^[^a-z]*[A-Z][^a-z]*$")) & (F.length(token) > 1)
 
 
-def is_boilerplate_sentence(sentence: Column) -> Column:
-    return F.regexp_like(F.lower(sentence), F.lit(BOILERPLATE_TERMS))
+def is_boilerplate_sentence(sentence: Column, lines_too: bool = False) -> Column:
+    """Blank, or holds one of the terms; with lines_too also dotted entries of a table of contents and boilerplate lines."""
+    found = F.regexp_like(F.lower(sentence), F.lit(BOILERPLATE_TERMS)) | (X.stripped(sentence) == "")
+    return found | X.is_dotted(sentence) | X.is_boilerplate(sentence) if lines_too else found
 
 
 def informativeness(sentence: Column) -> Column:

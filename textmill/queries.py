@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from textmill.functions import text as X
 from textmill.operators import lines as L
 from textmill.operators import refine as R
+from textmill.plans import reports
 from textmill.plans import retrieval as P
 from textmill.sources import io
 from textmill.streaming import refine as stream
@@ -317,6 +318,59 @@ def text_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("docs"), F.sum("a").alias("before"), F.sum("b").alias("after"), F.round(F.try_divide(F.sum("b"), F.sum("a")), 9).alias("ratio"), most.alias("most_compressed"))
 
 
+# ---- reports -----------------------------------------------------------------------------------------------------
+
+
+def chunks_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.chunks(dirty(spark, sf_dir).select("doc_id", X.stripped(X.blank_gaps(F.col("text"))).alias("text")))
+    return rows.select("doc_id", "chunk_index", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+def line_layout_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dirty_lines(spark, sf_dir)
+    return rows.select("doc_id", "line_idx", X.is_layout_noise(F.col("line")).alias("noise"), P.is_boilerplate_sentence(F.col("line"), True).alias("boilerplate"))
+
+
+def line_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = dirty_lines(spark, sf_dir)
+    pages = L.blocks(after).filter("block IS NOT NULL").withColumnRenamed("block", "page")
+    return reports.overview(L.exploded(documents(spark, sf_dir)), after, reports.page_edges(pages))
+
+
+def line_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.dropped_rows(L.decided(dirty_lines(spark, sf_dir)))
+
+
+def refine_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dirty(spark, sf_dir).select("doc_id", R.refine("text", "safe", structure_mode="light", normalize_extracted=False).alias("text"))
+
+
+def retrieval_chunk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over chunks, documents not made unique; the expected document is that of the fourth chunk."""
+    ranked = P.top_k(_asked(spark, sf_dir), _vectors(spark, sf_dir))
+    expected = ranked.filter("rank = 4").select("qid", F.col("doc_id").alias("expected"))
+    return P.metrics(expected, ranked).select("qid", F.round("mrr", 9).alias("mrr"), "recall_1", "recall_5", "recall_10")
+
+
+def retrieval_top_k_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.top_k_json(P.top_k(_asked(spark, sf_dir), _vectors(spark, sf_dir)))
+
+
+def retrieval_best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer of a document is its text from character 1000 on, 200 characters."""
+    answers = documents(spark, sf_dir).select(F.col("doc_id").alias("qid"), "doc_id", F.substring("text", 1000, 200).alias("answer"))
+    return reports.best_chunk(P.chunks(documents(spark, sf_dir)), answers).select("qid", "chunk_index", "holds")
+
+
+def retrieval_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports.extremes(P.against_baseline(_variant_rows(spark, sf_dir)).withColumn("delta_mrr_vs_raw", F.round("delta_mrr_vs_raw", 9)))
+    return rows.withColumnRenamed("delta_mrr_vs_raw", "delta")
+
+
+def retrieval_best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.best_variant(_variant_rows(spark, sf_dir)).select("variant", F.round("mrr", 9).alias("mrr"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [n for n in globals() if n.split("_")[0] in ("text", "line", "refine", "variant", "html", "page", "dropped", "chunks", "chunk", "hash", "retrieval", "lines") and callable(globals()[n])]
     return {n: globals()[n] for n in names}

@@ -155,3 +155,18 @@ def write_xlsx(path: str | Path, sheets: dict[str, DataFrame]) -> None:
             with z.open(f"xl/worksheets/sheet{i}.xml", "w") as out:
                 for part in _sheet((tuple(r) for r in df.toLocalIterator()), df.columns):
                     out.write(part.encode())
+
+
+def write_texts(texts: DataFrame, path: str, text_col: str = "text") -> None:
+    """A text after another, as they are."""
+    texts.select(text_col).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
+def index_rows(chunks: DataFrame, field: str, id_col: str = "doc_id") -> DataFrame:
+    """Chunks with the id under which an index holds them: document, field and number."""
+    return chunks.withColumn("index_id", F.concat_ws("__", F.col(id_col).cast("string"), F.lit(field), F.col("chunk_index").cast("string")))
+
+
+def snippet(chunk: Column, most: int = 180) -> Column:
+    """The beginning of a chunk on one line."""
+    return F.translate(F.substring(chunk, 1, most), "\n", " ")
