@@ -28,7 +28,8 @@ from .common import free_name, keyed
 from .induced import END, SEPARATOR, SHIFT, Sorter
 
 WINDOW, KMER = 100, 50
-PIECE = "route long, doc long, first int, body binary"
+#: body is null for a piece that equals an earlier one of its batch; n is its number of windows.
+PIECE = "route long, doc long, first int, n int, body binary"
 SHARD_BYTES = 1 << 20
 
 
@@ -65,10 +66,12 @@ def _pieces(window: int, k: int):
                     to = from_[held] + k + context
                     out.append((rolling.ranges(from_[held], to), row[held], lo[held], hi[held] + window))
                 route, of, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-                bodies = [body[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [K.long_array(route), pa.array(ids[i:j][of]), pa.array((a - rows[of]).astype(np.int32)), pa.array(bodies, pa.binary())], names=["route", "doc", "first", "body"]
-                )
+                doc, first = ids[i:j][of], a - rows[of]
+                lead = P.firsts(route, rolling.ranges(a, b), doc, first)
+                route[~lead] = K.mix(doc[~lead].astype(K.U64))  # known repeats are sent anywhere
+                bodies = [body[x:y].tobytes() if z else None for x, y, z in zip(a.tolist(), b.tolist(), lead.tolist(), strict=True)]
+                n = (b - a - window + 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([K.long_array(route), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(n), pa.array(bodies, pa.binary())], names=["route", "doc", "first", "n", "body"])
 
     return run
 
@@ -97,20 +100,31 @@ def repeats_of(doc: np.ndarray, first: np.ndarray, data: np.ndarray, offsets: np
 
 
 def _shards(window: int, most: int):
-    """Batches sorted by route to (doc, first, n). Pieces gather up to `most` bytes, cut between routes; routes of one piece drop out."""
+    """Batches sorted by route to (doc, first, n). Pieces gather up to `most` bytes, cut between routes; equal pieces are one, and routes of one piece drop out."""
 
     def settled(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        route = table.column(0).to_numpy()
-        partner = np.zeros(len(route), bool)
-        partner[1:] = route[1:] == route[:-1]
-        partner[:-1] |= partner[1:].copy()
-        table = table.filter(pa.array(partner))
-        if not table.num_rows:
-            return None
-        data, offsets = K.buffers(table.column(3))
+        known = table.column(4).is_null().to_numpy(zero_copy_only=False)
+        route, doc = table.column(0).to_numpy().view(K.U64), table.column(1).to_numpy()
+        first, n = (table.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+        data, offsets = K.buffers(table.column(4))
         data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-        d, s = repeats_of(table.column(1).to_numpy(), table.column(2).to_numpy().astype(np.int64), data, offsets, window)
+        # equal pieces are sorted once: all but the first repeat as wholes
+        at = np.flatnonzero(~known)
+        lead = np.zeros(len(route), bool)
+        lead[at] = P.firsts(route[at], K.Rolling(data).ranges(offsets[:-1][at], offsets[1:][at]), doc[at], first[at])
+        again = ~lead
+        d, s = np.repeat(doc[again], n[again]), np.repeat(first[again], n[again])
+        s = s + np.arange(len(s)) - np.repeat(np.cumsum(n[again]) - n[again], n[again])
+        at = np.flatnonzero(lead)
+        partner = np.zeros(len(at), bool)
+        partner[1:] = route[at][1:] == route[at][:-1]
+        partner[:-1] |= partner[1:].copy()
+        at = at[partner]
+        if len(at):
+            body, edges = K.buffers(table.column(4).take(pa.array(at)))
+            more = repeats_of(doc[at], first[at], body[edges[0] : edges[-1]], edges - edges[0], window)
+            d, s = np.concatenate([d, more[0]]), np.concatenate([s, more[1]])
         if not len(d):
             return None
         order = np.lexsort((s, d))
@@ -134,7 +148,7 @@ def _shards(window: int, most: int):
                         yield out
                     held, size, batch = [], 0, batch.slice(cuts[0])
             held.append(batch)
-            size += batch.column(3).nbytes
+            size += batch.column(4).nbytes
         if held and (out := settled(held)):
             yield out
 

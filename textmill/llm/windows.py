@@ -39,7 +39,7 @@ def units(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray,
     return K.Rolling(data, K.MULTIPLIER_2).ranges(start, end), rows
 
 
-def _firsts(gram: np.ndarray, whole: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+def firsts(gram: np.ndarray, whole: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Marks, of rows with equal (gram, whole), the one with the least (doc, first)."""
     both = K.mix(gram + whole * K.U64(K.MULTIPLIER))
     order = np.lexsort((first, doc, both))
@@ -70,7 +70,7 @@ def path_finder(kind: str, window: int, k: int) -> Callable[[Iterator[pa.RecordB
         if not found:
             return
         gram, whole, doc, first, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        lead = _firsts(gram, whole, doc, first)
+        lead = firsts(gram, whole, doc, first)
         again = ~lead
         d, s, e = doc[again], first[again], (first + n)[again]
         order = np.lexsort((s, d))
