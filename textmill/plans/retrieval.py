@@ -6,6 +6,8 @@ chunks that share one, by an equi-join on the dimension.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,11 +70,11 @@ def embedding(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     return sums.withColumn("norm", norm).select(*id_cols, "dim", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("weight"))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, query_col: str = "qid", ids: tuple[str, ...] = ("doc_id", "chunk_index"), k: int = 10) -> DataFrame:
-    """(query, ids, score, rank): the k chunks of largest cosine; ties go to the smaller ids. Scores are rounded to 9 digits first."""
+def top_k(queries: DataFrame, vectors: DataFrame, query_col: str = "qid", ids: tuple[str, ...] = ("doc_id", "chunk_index"), k: int = 10, per: tuple[str, ...] = ()) -> DataFrame:
+    """(query, per, ids, score, rank): the k chunks of largest cosine, in each group of the columns `per`; ties go to the smaller ids. Scores are rounded to 9 digits first."""
     meet = queries.select(query_col, "dim", F.col("weight").alias("qw")).join(vectors, "dim")
-    scores = meet.groupBy(query_col, *ids).agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score"))
-    order = Window.partitionBy(query_col).orderBy(F.col("score").desc(), *ids)
+    scores = meet.groupBy(query_col, *per, *ids).agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score"))
+    order = Window.partitionBy(query_col, *per).orderBy(F.col("score").desc(), *ids)
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -90,6 +92,16 @@ def metrics(questions: DataFrame, docs_ranked: DataFrame, ks: tuple[int, ...] =
     return questions.join(at, query_col).select(*questions.columns, F.coalesce(1.0 / F.col("at"), F.lit(0.0)).alias("mrr"), *found)
 
 
+def evaluated(asked: DataFrame, texts: DataFrame, variants: Iterable[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(qid, variant, mrr, recall_k): every question of questions() asked of the chunks of each variant in (id, variant, text); expected is its document."""
+    pieces = chunks(texts.select(F.struct("variant", F.col(id_col).alias("doc")).alias("in"), text_col), "in", text_col)
+    indexed = embedding(pieces, ["in", "chunk_index"], "chunk").select("in.variant", "in.doc", "chunk_index", "dim", "weight")
+    ranked = top_k(embedding(asked, ["qid"], "question"), indexed, ids=("doc", "chunk_index"), per=("variant",))
+    ranked = unique_docs(ranked.withColumn("q", F.struct("qid", "variant")), "q", "doc")
+    each = asked.select("qid", F.explode(F.array(*map(F.lit, variants))).alias("variant"), F.col(id_col).alias("expected"))
+    return metrics(each.withColumn("q", F.struct("qid", "variant")), ranked, query_col="q", doc_col="doc").drop("q", "expected")
+
+
 def summary(rows: DataFrame, variant_col: str = "variant", baseline: str = "raw") -> DataFrame:
     """Mean metrics by variant, and their difference to the baseline's MRR."""
     means = rows.groupBy(variant_col).agg(F.avg("mrr").alias("mrr"), *(F.avg(c).alias(c) for c in rows.columns if c.startswith("recall_")), F.count(F.lit(1)).alias("count"))

@@ -280,11 +280,10 @@ def retrieval_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _variant_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation rows made of the documents: a document asks for itself by its first line; variants differ by the text they index."""
-    docs = table(spark, sf_dir, "documents")
-    rank = {"raw": F.col("doc_id") % 7 + 1, "safe": F.col("doc_id") % 5 + 1, "light": F.col("doc_id") % 11 + 1}
-    rows = docs.select(F.col("doc_id").alias("qid"), F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), r.alias("rank")) for v, r in rank.items()))).alias("x")).select("qid", "x.*")
-    return rows.select("qid", "variant", (1.0 / F.col("rank")).alias("mrr"), *((F.col("rank") <= k).cast("int").alias(f"recall_{k}") for k in (1, 5, 10)))
+    """The questions of the raw texts, asked of the chunks of each variant of them."""
+    raw = dirty(spark, sf_dir)
+    settings = {"raw": ("raw", {}), "safe": ("safe", {}), "light": ("light", {})}
+    return P.evaluated(P.questions(raw), R.variants(raw, settings), settings)
 
 
 def retrieval_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
