@@ -40,6 +40,31 @@ def test_small_pages(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<main><p>story</p><article class=card>teaser</article></main>", "story\nteaser"), ("<article>a</article><main>b</main>", "a\nb"),
+    ("<p>" + "long words " * 30 + "</p><p>Short.</p>", ("long words " * 30).strip() + "\nShort."),
+    ("<h1>Title</h1><div>by A</div>" + "<p>" + "long words " * 30 + "</p><p>Yes.</p><p>No.</p>" * 3, "Title\nby A\n" + ("long words " * 30).strip() + "\nYes.\nNo." * 3),
+    ("<div><a href=/>Home</a></div><div><a href=/a>About us</a></div>" * 4 + "<p>Lead.</p><p>" + "long words " * 30 + "</p><p>" + "more words " * 30 + "</p><p>End.</p>" + "<div><a href=/b>Terms</a></div>" * 4,
+     "Lead.\n" + ("long words " * 30).strip() + "\n" + ("more words " * 30).strip() + "\nEnd."),
+    ("<a name=top><p>" + "long words " * 30 + "</p><p>Short.</p>", ("long words " * 30).strip() + "\nShort."),
+])
+def test_no_text_is_lost(html, text):
+    assert html_extract.main_text(html) == text
+
+
+def template(page):
+    import html
+
+    lines = re.sub("<[^>]*>", " ", re.sub(r"</?(p|h1)\b[^>]*>", "\n", re.search("<article>(.*?)</article>", page, re.S)[1])).split("\n")
+    return "\n".join(x for x in (" ".join(html.unescape(v).split()) for v in lines) if x)
+
+
+@pytest.mark.parametrize("kind", ["main", "div"])
+def test_pages_without_article_against_the_template(spark, kind):
+    for page in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        assert html_extract.main_text(re.sub("(</?)article>", rf"\1{kind}>", page.html)) == template(page.html)
+
+
 def test_deep_and_long_pages():
     assert html_extract.main_text("<article>" + "<b>" * 20000 + "x" + "</i>" * 20000 + "</article>") == "x"
     assert len(html_extract.main_text("<article>" + "<p>word word</p>" * 20000 + "</article>").split("\n")) == 20000

@@ -4,8 +4,9 @@ Parser events are cut into lines at block elements; a line has its text, its num
 holds it. The ratio of text to tags per line is smoothed with a Gaussian and split into two clusters by a threshold;
 lines of the upper cluster are content. Elements that are never main text (menus, headers, footers, sidebars, forms,
 scripts, styles) or are named as notices, adverts or comments have no lines. Where a page says what its text is, by
-article or else main elements, these are its regions and all their lines are kept, however short: the ratio knows
-less than the mark-up. Without them the regions are the runs of content lines.
+article or main elements, these are its regions and all their lines are kept, however short: the ratio knows
+less than the mark-up. Without them all lines from the first to the last content line are kept, and of the others those
+that aren't mostly links: a low ratio alone may be a short paragraph or a heading.
 
 Defined results: null, empty and textless pages give an empty text; broken markup is read as far as it goes (an
 element that isn't closed ends with its parent, an end tag without a start is passed over); character references
@@ -76,10 +77,12 @@ class Lines(HTMLParser):
         self.tags: list[int] = []
         self.regions: list[int] = []
         self.kinds: list[str] = []
-        self.stack: list[tuple[str, bool, int]] = []  # element, whether its text is left out, its region
+        self.links: list[bool] = []  # whether most of the line is text of links
+        self.stack: list[tuple[str, bool, int, bool]] = []  # element, whether its text is left out, its region, whether it's in a link
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.count = 0
+        self.linked = 0
 
     def _cut(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -87,11 +90,13 @@ class Lines(HTMLParser):
             self.texts.append(text)
             self.tags.append(self.count)
             self.regions.append(self.stack[-1][2] if self.stack else -1)
+            self.links.append(2 * self.linked > len(text) - text.count(" "))
             self.count = 0
         self.parts.clear()
+        self.linked = 0
 
     def _pop(self) -> None:
-        tag, _, _ = self.stack.pop()
+        tag = self.stack.pop()[0]
         self.open[tag] -= 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -121,11 +126,12 @@ class Lines(HTMLParser):
         for _ in range(2):
             if self.stack and self.stack[-1][0] in CLOSES.get(tag, ()):
                 self._pop()
-        _, out, region = self.stack[-1] if self.stack else ("", False, -1)
+        _, out, region, link = self.stack[-1] if self.stack else ("", False, -1, False)
         if tag in ("article", "main") and (region < 0 or self.kinds[region] == "main"):
             region = len(self.kinds)
             self.kinds.append(tag)
-        self.stack.append((tag, out or excluded(tag, attrs), region))
+        link = link or (tag == "a" and any(name == "href" for name, _ in attrs))
+        self.stack.append((tag, out or excluded(tag, attrs), region, link))
         self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -145,6 +151,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.stack and self.stack[-1][1]):
             self.parts.append(data)
+            if self.stack and self.stack[-1][3]:
+                self.linked += sum(map(len, data.split()))
 
     def end(self) -> None:
         self.close()
@@ -172,18 +180,19 @@ def threshold(values: np.ndarray) -> float:
     return cut
 
 
-def content(texts: list[str], tags: list[int], regions: list[int], kinds: list[str], sigma: float = SIGMA) -> np.ndarray:
+def content(texts: list[str], tags: list[int], regions: list[int], links: list[bool], sigma: float = SIGMA) -> np.ndarray:
     """Which lines are main text."""
     if not texts:
         return np.zeros(0, bool)
+    inside = np.array(regions) >= 0
+    if inside.any():
+        return inside
     ratio = np.log1p(np.array([len(t) for t in texts]) / np.maximum(1, np.array(tags)))
     smooth = smoothed(ratio, sigma)
-    high = smooth >= min(threshold(smooth), float(smooth.max()))
-    for kind in ("article", "main"):
-        inside = np.array([r >= 0 and kinds[r] == kind for r in regions])
-        if inside.any():
-            return inside
-    return high
+    high = np.flatnonzero(smooth >= min(threshold(smooth), float(smooth.max())))
+    keep = ~np.array(links)
+    keep[high[0] : high[-1] + 1] = True
+    return keep
 
 
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
@@ -192,7 +201,7 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     lines = Lines()
     lines.feed(html)
     lines.end()
-    keep = content(lines.texts, lines.tags, lines.regions, lines.kinds, sigma)
+    keep = content(lines.texts, lines.tags, lines.regions, lines.links, sigma)
     return "\n".join(t for t, k in zip(lines.texts, keep, strict=True) if k)
 
 
