@@ -52,6 +52,25 @@ def test_no_text_is_lost(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-comments", "with-banner", "related-topics-page", "social-policy", "sidebar", "popup"])
+def test_names_do_not_lose_an_article(name):
+    for tag in ("article", "main"):
+        assert html_extract.main_text(f"<div class='{name}'><p>out</p><{tag}><p>in</p></{tag}></div>").endswith("in")
+    inner = f"<section class='{name}'><p>in</p></section>"
+    assert html_extract.main_text(f"<article><p>a</p>{inner}</article>") == ("a" if name in ("sidebar", "popup") else "a\nin")
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<article><p class='notice-period'>a</p><div class='discussion'>b</div></article>", "a\nb"),
+    ("<article><p>a</p><div class='comments'><article>c</article></div></article><div id='comments'><article>d</article></div>", "a"),
+    ("<div><p>story</p></div><div id='comments'><article>c</article></div>", "story\nc"),
+    ("<main><p>a</p><div class='comments'><article>c</article></div></main>", "a"),
+    ("<article>a<div class='cookie-notice'>b</div><div class='ad-1'>c</div><div id='ad_300x250'>d</div><p class='post__share'>e</p></article>", "a"),
+])
+def test_names(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def template(page):
     import html
 

@@ -3,7 +3,9 @@
 Parser events are cut into lines at block elements; a line has its text, its number of tags, and the element that
 holds it. The ratio of text to tags per line is smoothed with a Gaussian and split into two clusters by a threshold;
 lines of the upper cluster are content. Elements that are never main text (menus, headers, footers, sidebars, forms,
-scripts, styles) or are named as notices, adverts or comments have no lines. Where a page says what its text is, by
+scripts, styles) have no lines, nor have those that are named as notices, adverts or comments: by a whole class or id or
+its last part (cookie-notice, but not notice-period or has-sidebar). An article or main element in a named one has lines
+all the same, which are left out only where another article or main element has lines. Where a page says what its text is, by
 article or main elements, these are its regions and all their lines are kept, however short: the ratio knows
 less than the mark-up. Without them all lines from the first to the last content line are kept, and of the others those
 that aren't mostly links: a low ratio alone may be a short paragraph or a heading.
@@ -36,19 +38,27 @@ NEVER = frozenset(
     "head title script style noscript template nav header footer aside form fieldset button select option textarea input label iframe object embed svg math canvas audio video map dialog menu search".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert alertdialog dialog status".split())
-#: Words of class or id that mark what isn't main text.
+#: Classes, ids, and last parts of them, that mark what isn't main text.
 NAMED = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert alerts nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer masthead comment comments commentlist disqus replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget widgets toolbar pager pagination paywall disclaimer".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert alerts nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer masthead comment comments commentlist disqus replies respond share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget widgets toolbar pager pagination paywall disclaimer".split()
 )
+#: First parts that say something of an element's state, not what it is.
+STATES = frozenset("has have with no not non without hide show".split())
 HEADER_NAMED = frozenset(("header", "topbar"))
 HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p", "article", "main", "body", "html"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIGMA = 1.0
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"(?<![^\W_])[^\W\d_]+")
+
+
+def named(value: str) -> set[str]:
+    """The last parts of the names in a class or id, but of those of a state."""
+    parts = (_PART.findall(x) for x in value.lower().split())
+    return {x[-1] for x in parts if x and x[0] not in STATES}
 
 
 def excluded(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether what an element holds is no main text, by its name, role or names."""
+    """Whether what an element holds is no main text, by its name or role."""
     if tag in NEVER:
         return True
     for name, value in attrs:
@@ -59,15 +69,19 @@ def excluded(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if name == "role":
             if value.lower() in ROLES:
                 return True
-        elif name in ("class", "id"):
-            names = set(_WORD.findall(value.lower()))
-            if names & NAMED or (tag not in HEADING and names & HEADER_NAMED):
-                return True
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
     return False
 
 
+def unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether what an element holds is no main text by its names, if no article or main element is in it."""
+    if tag in ("body", "html", "article", "main"):
+        return False
+    names = set().union(*(named(value) for name, value in attrs if value and name in ("class", "id")))
+    return bool(names & NAMED) or (tag not in HEADING and bool(names & HEADER_NAMED))
+
+
 class Lines(HTMLParser):
     """Lines of a page: text, tags, and the number of the article or main element (-1 outside) that holds each."""
 
@@ -78,7 +92,8 @@ class Lines(HTMLParser):
         self.regions: list[int] = []
         self.kinds: list[str] = []
         self.links: list[bool] = []  # whether most of the line is text of links
-        self.stack: list[tuple[str, bool, int, bool]] = []  # element, whether its text is left out, its region, whether it's in a link
+        self.aside: list[bool] = []  # by region, whether it's in an element that its names leave out
+        self.stack: list[tuple[str, bool, int, bool, bool]] = []  # element, whether its text is left out, its region, whether it's in a link, whether names leave it out
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.count = 0
@@ -126,12 +141,14 @@ class Lines(HTMLParser):
         for _ in range(2):
             if self.stack and self.stack[-1][0] in CLOSES.get(tag, ()):
                 self._pop()
-        _, out, region, link = self.stack[-1] if self.stack else ("", False, -1, False)
-        if tag in ("article", "main") and (region < 0 or self.kinds[region] == "main"):
+        _, out, region, link, unnamed = self.stack[-1] if self.stack else ("", False, -1, False, False)
+        if tag in ("article", "main") and (region < 0 or (self.kinds[region] == "main" and not unnamed)):
             region = len(self.kinds)
             self.kinds.append(tag)
+            self.aside.append(unnamed)
+            unnamed = False
         link = link or (tag == "a" and any(name == "href" for name, _ in attrs))
-        self.stack.append((tag, out or excluded(tag, attrs), region, link))
+        self.stack.append((tag, out or excluded(tag, attrs), region, link, unnamed or unwanted(tag, attrs)))
         self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -149,7 +166,7 @@ class Lines(HTMLParser):
                     break
 
     def handle_data(self, data: str) -> None:
-        if not (self.stack and self.stack[-1][1]):
+        if not (self.stack and (self.stack[-1][1] or self.stack[-1][4])):
             self.parts.append(data)
             if self.stack and self.stack[-1][3]:
                 self.linked += sum(map(len, data.split()))
@@ -180,17 +197,18 @@ def threshold(values: np.ndarray) -> float:
     return cut
 
 
-def content(texts: list[str], tags: list[int], regions: list[int], links: list[bool], sigma: float = SIGMA) -> np.ndarray:
+def content(texts: list[str], tags: list[int], regions: list[int], aside: list[bool], links: list[bool], sigma: float = SIGMA) -> np.ndarray:
     """Which lines are main text."""
     if not texts:
         return np.zeros(0, bool)
     inside = np.array(regions) >= 0
-    if inside.any():
-        return inside
+    first = inside & ~np.array([r >= 0 and aside[r] for r in regions])
+    if first.any():
+        return first
     ratio = np.log1p(np.array([len(t) for t in texts]) / np.maximum(1, np.array(tags)))
     smooth = smoothed(ratio, sigma)
     high = np.flatnonzero(smooth >= min(threshold(smooth), float(smooth.max())))
-    keep = ~np.array(links)
+    keep = inside | ~np.array(links)
     keep[high[0] : high[-1] + 1] = True
     return keep
 
@@ -201,7 +219,7 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     lines = Lines()
     lines.feed(html)
     lines.end()
-    keep = content(lines.texts, lines.tags, lines.regions, lines.links, sigma)
+    keep = content(lines.texts, lines.tags, lines.regions, lines.aside, lines.links, sigma)
     return "\n".join(t for t, k in zip(lines.texts, keep, strict=True) if k)
 
 
