@@ -1,11 +1,12 @@
-"""Suffix array and common-prefix values by external induced sorting.
+"""Suffix array and common-prefix values by induced sorting with queues that spill.
 
 S*-suffixes (a descent before, an ascent after) are sorted by recursion on the sequence of their names; from them
 all L-type and then all S-type suffixes are induced, bucket by bucket. Induced tuples (position, common prefix with
 the tuple before) wait in a priority queue whose keys are the first characters; the least (or largest) key is popped
 in bulk and its predecessors are pushed, so every step is a vector operation over a whole bucket. Queues spill
-their oldest chunks to disk beyond `memory` bytes, and arrays as long as the text are memory-mapped files then, so
-a shard may be far larger than memory.
+their oldest chunks to disk beyond `memory` bytes, and some arrays as long as the text are memory-mapped files then.
+But all tuples that have left a queue, the hashes, the types and the doubling stay in memory, many bytes for one of
+the text: a shard must fit memory.
 
 The common prefix of two induced neighbours is one more than the least common prefix between the suffixes that
 induced them; the queue keeps that minimum per key. Values are capped at `depth`, and suffixes that agree that far

@@ -1,11 +1,12 @@
-"""Removal of byte strings that occur earlier in the corpus, by external induced sorting of suffix shards.
+"""Removal of byte strings that occur earlier in the corpus, by induced sorting of suffix shards.
 
 A suffix array over all bytes can't be shuffled (eight bytes and more per byte of text), so suffixes that can't
 share `window` bytes with another never reach a shard: `windows` routes all windows by their least k-gram, settles
 equal paths and k-grams with one path, and leaves the branching ones. Their bytes are cut at the k-gram into at
 most two pieces, which are routed by hash of three quarters of a window that all windows of a piece share; so a
 k-gram with very many contexts is spread, and pieces without a partner drop out. A shard is the concatenation of
-its pieces; `induced.Sorter` gives its suffix array and common prefixes, external where it is large. Neighbours
+its pieces; `induced.Sorter` gives its suffix array and common prefixes, in memory: one route is never cut, so a route
+of very many different pieces may not fit. Neighbours
 with a common prefix of `window` are equal windows; all but the first by (document, byte) repeat.
 
 Defined results: a null text is empty; texts shorter than `window` bytes lose none; copies lose all bytes of all
