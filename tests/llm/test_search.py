@@ -85,6 +85,18 @@ def test_every_level_of_strips_is_a_function_of_the_fingerprint():
     assert (simhash.code(12).nearest >= 0).all() and (np.bincount(simhash.code(12).nearest) == 2048).all() and (np.bincount(simhash.code(4).nearest) == 8).all()
 
 
+@pytest.mark.parametrize("rows, most, leaf", [(1 << 30, 40, 512), (5 << 30, 40, 512), (1 << 20, 90, 512), (1 << 20, 40, 1)])
+def test_repetitions_meet_the_recall(rows, most, leaf):
+    strips = simhash.plan(rows, most, 0.995, leaf)
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 2, (4000, 256), np.uint8)
+    b = a.copy()
+    for x in b:
+        x[rng.choice(256, most, replace=False)] ^= 1
+    met = np.mean([(strips.lists(a, t) == strips.lists(b, t)).mean() for t in range(100, 140)])
+    assert 1 - (1 - met) ** strips.repeats >= 0.99
+
+
 def test_simhash_query_on_the_whole_table(spark):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     found = {r.doc_id: r for r in queries.op7_simhash(spark, SF).collect()}
