@@ -34,7 +34,7 @@ def test_article_without_what_surrounds_it():
 
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), ("   ", ""), ("<p></p>", ""), ("plain words only", "plain words only"), ("<p>a<br>b</p>", "a b"), ("<nav>x", ""), ("</div></p>a</b>", "a"),
-    ("<article><p>a</p></article><article><p>b</p></article>", "a\nb"), ("<main><p>x &lt;y&gt;</p><article><p>in</p></article></main>", "in"), ("<p hidden>no</p><p>yes</p>", "yes"),
+    ("<article><p>a</p></article><article><p>b</p></article>", "a\nb"), ("<main><p>x &lt;y&gt;</p><article><p>in</p></article></main>", "x <y>\nin"), ("<p hidden>no</p><p>yes</p>", "yes"),
 ])
 def test_small_pages(html, text):
     assert html_extract.main_text(html) == text
@@ -63,7 +63,8 @@ def test_names_do_not_lose_an_article(name):
 @pytest.mark.parametrize("html, text", [
     ("<article><p class='notice-period'>a</p><div class='discussion'>b</div></article>", "a\nb"),
     ("<article><p>a</p><div class='comments'><article>c</article></div></article><div id='comments'><article>d</article></div>", "a"),
-    ("<div><p>story</p></div><div id='comments'><article>c</article></div>", "story\nc"),
+    ("<div><p>story</p></div><div id='comments'><article>c</article></div>", "story"),
+    ("<div><p>story</p></div><div class='widget'><article>c</article></div>", "c"), ("<article><p>a</p><article class='comment'>b</article></article>", "a"),
     ("<main><p>a</p><div class='comments'><article>c</article></div></main>", "a"),
     ("<article>a<div class='cookie-notice'>b</div><div class='ad-1'>c</div><div id='ad_300x250'>d</div><p class='post__share'>e</p></article>", "a"),
 ])
@@ -71,6 +72,26 @@ def test_names(html, text):
     assert html_extract.main_text(html) == text
 
 
+LONG = "Some long words of the story that go on for a while, as in an article, and then on. " * 4
+
+
+@pytest.mark.parametrize("html", [
+    "<body><div class='content has-sidebar'><h1>T</h1><p>{0}</p><p>End.</p></div></body>", "<div class='main no-sidebar'><h1>T</h1><p>{0}</p><p>End.</p></div>",
+    "<div class='post-with-comments'><article><h1>T</h1><p>{0}</p><p>End.</p></article></div>", "<form><nav>menu</nav><div><h1>T</h1><p>{0}</p><p>End.</p></div></form>",
+    "<main><h1>T</h1><p>{0}</p><p>End.</p></main>", "<article><h1>T</h1><p>{0}</p><p>End.</p><article class='comment'>I say</article></article>",
+])
+def test_wrapped_pages_keep_their_article(html):
+    assert html_extract.main_text(html.format(LONG)) == f"T\n{LONG.strip()}\nEnd."
+
+
+def test_the_clusters_choose():
+    """Without any name or mark: the low cluster goes, the high one and what stands in its region stays; text far beyond an article's ratio stays outside it."""
+    side = "<div>Home</div><div>News of it</div><div>Sign in</div>"
+    assert html_extract.main_text(f"{side}<div><h2>T</h2><p>{LONG}</p><p>Yes.</p><p>{LONG}</p></div>{side}") == f"T\n{LONG.strip()}\nYes.\n{LONG.strip()}"
+    assert html_extract.main_text(f"<main>Loading</main><div>{LONG * 20}</div>") == f"Loading\n{(LONG * 20).strip()}"
+    assert html_extract.main_text(f"<main><p>{LONG}</p></main><div>{LONG}</div>") == LONG.strip()
+
+
 def template(page):
     import html
 

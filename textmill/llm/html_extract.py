@@ -1,14 +1,17 @@
 """Main text of web pages by text-to-tag ratio, from the events of the standard library's streaming parser.
 
-Parser events are cut into lines at block elements; a line has its text, its number of tags, and the element that
-holds it. The ratio of text to tags per line is smoothed with a Gaussian and split into two clusters by a threshold;
-lines of the upper cluster are content. Elements that are never main text (menus, headers, footers, sidebars, forms,
-scripts, styles) have no lines, nor have those that are named as notices, adverts or comments: by a whole class or id or
-its last part (cookie-notice, but not notice-period or has-sidebar). An article or main element in a named one has lines
-all the same, which are left out only where another article or main element has lines. Where a page says what its text is, by
-article or main elements, these are its regions and all their lines are kept, however short: the ratio knows
-less than the mark-up. Without them all lines from the first to the last content line are kept, and of the others those
-that aren't mostly links: a low ratio alone may be a short paragraph or a heading.
+Parser events are cut into lines at block elements. A line's ratio is the logarithm of its text outside links over its
+tags. Mark-up is only a prior: a line in an article or main element gets BOOST more. Ratios are smoothed with a Gaussian
+(not across the edge of an article), and a threshold splits them into two clusters. A region is an article or main
+element, or elsewhere the nearest container (div, section, table cell, body); regions whose lines of the upper cluster
+hold at least SHARE of their text are content, with all their lines, however short: a low ratio alone may be a short
+paragraph or a heading. Lines between two of the same region stay too. Lines that are mostly links stay only in an
+article or in the upper cluster.
+
+Elements that are never main text (menus, headers, footers, sidebars, scripts, styles) have no lines. Forms, and what is
+named as a notice, an advert or a comment, by a whole class or id or its last part (cookie-notice, but not
+notice-period or has-sidebar), are left out unless all else on the page has under a quarter of their text: then they
+wrap the page. If no article or main element is left, those in elements so named are taken back, but not comments.
 
 Defined results: null, empty and textless pages give an empty text; broken markup is read as far as it goes (an
 element that isn't closed ends with its parent, an end tag without a start is passed over); character references
@@ -35,7 +38,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table caption tbody tfoot thead tr ul".split()
 )
 NEVER = frozenset(
-    "head title script style noscript template nav header footer aside form fieldset button select option textarea input label iframe object embed svg math canvas audio video map dialog menu search".split()
+    "head title script style noscript template nav header footer aside fieldset button select option textarea input label iframe object embed svg math canvas audio video map dialog menu search".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert alertdialog dialog status".split())
 #: Classes, ids, and last parts of them, that mark what isn't main text.
@@ -44,10 +47,15 @@ NAMED = frozenset(
 )
 #: First parts that say something of an element's state, not what it is.
 STATES = frozenset("has have with no not non without hide show".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 HEADER_NAMED = frozenset(("header", "topbar"))
 HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p", "article", "main", "body", "html"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CONTAINERS = frozenset("div section td th body html center blockquote dialog".split())
 SIGMA = 1.0
+#: Added to the log ratio in an article or main element; no threshold is above it.
+BOOST = 8.0
+SHARE, WRAPS = 0.25, 4
 _PART = re.compile(r"(?<![^\W_])[^\W\d_]+")
 
 
@@ -74,41 +82,39 @@ def excluded(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
-def unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether what an element holds is no main text by its names, if no article or main element is in it."""
-    if tag in ("body", "html", "article", "main"):
-        return False
+def unwanted(tag: str, attrs: list[tuple[str, str | None]], inner: bool) -> set[str]:
+    """Names of an element that say that what it holds is no main text. inner: whether it is in an article or main element."""
+    if tag in ("body", "html", "main") or (tag == "article" and not inner):
+        return set()
     names = set().union(*(named(value) for name, value in attrs if value and name in ("class", "id")))
-    return bool(names & NAMED) or (tag not in HEADING and bool(names & HEADER_NAMED))
+    return (names & NAMED) | (names & HEADER_NAMED if tag not in HEADING else set()) | ({"form"} if tag == "form" else set())
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags, and the number of the article or main element (-1 outside) that holds each."""
+    """Lines of a page: pieces of text with what may leave them out, number of tags, and region.
+
+    What may leave text out is a number of `outs`: (the one around it, its names, whether an article is in it), -1 for none.
+    Regions are numbered; `marked` says which are article or main elements.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.texts: list[str] = []
-        self.tags: list[int] = []
-        self.regions: list[int] = []
-        self.kinds: list[str] = []
-        self.links: list[bool] = []  # whether most of the line is text of links
-        self.aside: list[bool] = []  # by region, whether it's in an element that its names leave out
-        self.stack: list[tuple[str, bool, int, bool, bool]] = []  # element, whether its text is left out, its region, whether it's in a link, whether names leave it out
+        self.lines: list[tuple[list[tuple[str, int, bool]], int, int]] = []  # pieces (text, out, link), tags, region
+        self.outs: list[tuple[int, set[str]]] = []
+        self.marked: list[bool] = [False]
+        self.around: list[int] = [-1]  # by region, what may leave the element itself out
+        self.stack: list[tuple[str, bool, int, int, bool]] = []  # element, whether its text is never read, out, region, link
         self.open: Counter[str] = Counter()
-        self.parts: list[str] = []
+        self.parts: list[tuple[str, int, bool]] = []
         self.count = 0
-        self.linked = 0
 
     def _cut(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.texts.append(text)
-            self.tags.append(self.count)
-            self.regions.append(self.stack[-1][2] if self.stack else -1)
-            self.links.append(2 * self.linked > len(text) - text.count(" "))
+        if any(p[0].strip() for p in self.parts):
+            self.lines.append((self.parts, self.count, self.stack[-1][3] if self.stack else 0))
+            self.parts = []
             self.count = 0
-        self.parts.clear()
-        self.linked = 0
+        else:
+            self.parts.clear()
 
     def _pop(self) -> None:
         tag = self.stack.pop()[0]
@@ -123,7 +129,7 @@ class Lines(HTMLParser):
                 self._pop()
         else:
             if tag in ("br", "td", "th"):
-                self.parts.append(" ")
+                self.parts.append((" ", self.stack[-1][2] if self.stack else -1, False))
         if tag in VOID:
             return
         if tag == "p" and self.open["p"]:
@@ -141,14 +147,17 @@ class Lines(HTMLParser):
         for _ in range(2):
             if self.stack and self.stack[-1][0] in CLOSES.get(tag, ()):
                 self._pop()
-        _, out, region, link, unnamed = self.stack[-1] if self.stack else ("", False, -1, False, False)
-        if tag in ("article", "main") and (region < 0 or (self.kinds[region] == "main" and not unnamed)):
-            region = len(self.kinds)
-            self.kinds.append(tag)
-            self.aside.append(unnamed)
-            unnamed = False
-        link = link or (tag == "a" and any(name == "href" for name, _ in attrs))
-        self.stack.append((tag, out or excluded(tag, attrs), region, link, unnamed or unwanted(tag, attrs)))
+        _, never, out, region, link = self.stack[-1] if self.stack else ("", False, -1, 0, False)
+        names = unwanted(tag, attrs, self.marked[region])
+        if names:
+            self.outs.append((out, names))
+            out = len(self.outs) - 1
+        main = tag in ("article", "main")
+        if (main and not (self.marked[region] and self.around[region] == out)) or (tag in CONTAINERS and not self.marked[region]):
+            region = len(self.marked)
+            self.marked.append(main)
+            self.around.append(out)
+        self.stack.append((tag, never or excluded(tag, attrs), out, region, link or (tag == "a" and any(name == "href" for name, _ in attrs))))
         self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -166,15 +175,41 @@ class Lines(HTMLParser):
                     break
 
     def handle_data(self, data: str) -> None:
-        if not (self.stack and (self.stack[-1][1] or self.stack[-1][4])):
-            self.parts.append(data)
-            if self.stack and self.stack[-1][3]:
-                self.linked += sum(map(len, data.split()))
+        _, never, out, _, link = self.stack[-1] if self.stack else ("", False, -1, 0, False)
+        if not never:
+            self.parts.append((data, out, link))
 
     def end(self) -> None:
         self.close()
         self._cut()
 
+    def left_out(self) -> list[bool]:
+        """Which of `outs` leave their text out."""
+        own = [0] * len(self.outs)
+        rest = 0
+        for parts, _, _ in self.lines:
+            for text, out, link in parts:
+                n = 0 if link else len(text) - text.count(" ")
+                if out < 0:
+                    rest += n
+                while out >= 0:
+                    own[out] += n
+                    out = self.outs[out][0]
+        gone = [False] * len(self.outs)
+        for i, (above, _) in enumerate(self.outs):  # the one around comes first
+            gone[i] = (above >= 0 and gone[above]) or WRAPS * rest >= own[i]
+        here = {r for _, _, r in self.lines if self.marked[r]}
+        if not any(self.around[r] < 0 or not gone[self.around[r]] for r in here):
+            for r in here:
+                chain, out = [], self.around[r]
+                while out >= 0:
+                    chain.append(out)
+                    out = self.outs[out][0]
+                if not any(self.outs[o][1] & COMMENTS for o in chain):
+                    for o in chain:
+                        gone[o] = False
+        return gone
+
 
 def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing; the edges are continued with their values."""
@@ -197,30 +232,52 @@ def threshold(values: np.ndarray) -> float:
     return cut
 
 
-def content(texts: list[str], tags: list[int], regions: list[int], aside: list[bool], links: list[bool], sigma: float = SIGMA) -> np.ndarray:
-    """Which lines are main text."""
+def content(texts: list[str], tags: list[int], linked: list[int], regions: list[int], marked: list[bool], sigma: float = SIGMA) -> np.ndarray:
+    """Which lines are main text. linked: how much of a line is text of links."""
     if not texts:
         return np.zeros(0, bool)
-    inside = np.array(regions) >= 0
-    first = inside & ~np.array([r >= 0 and aside[r] for r in regions])
-    if first.any():
-        return first
-    ratio = np.log1p(np.array([len(t) for t in texts]) / np.maximum(1, np.array(tags)))
-    smooth = smoothed(ratio, sigma)
-    high = np.flatnonzero(smooth >= min(threshold(smooth), float(smooth.max())))
-    keep = inside | ~np.array(links)
-    keep[high[0] : high[-1] + 1] = True
-    return keep
+    size = np.array([len(t) for t in texts])
+    inside = np.array([marked[r] for r in regions])
+    region = np.unique(regions, return_inverse=True)[1]
+    plain = size - np.minimum(linked, size)
+    ratio = np.log1p(plain / np.maximum(1, np.array(tags))) + BOOST * inside
+    edges = [0, *(np.flatnonzero(inside[1:] != inside[:-1]) + 1).tolist(), len(ratio)]
+    smooth = np.concatenate([smoothed(ratio[a:b], sigma) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    cut = min(threshold(smooth), float(smooth.max()), BOOST)
+    upper = (smooth >= cut) & (ratio >= min(cut, float(ratio.max())))  # smoothing lifts the lines beside long ones
+    links = 2 * np.array(linked) > size
+    held = np.bincount(region, np.where(upper, size, 0)) >= SHARE * np.bincount(region, size)
+    keep = held[region] & (inside | upper | ~links)
+    first, last = np.full(region.max() + 1, len(texts)), np.full(region.max() + 1, -1)
+    at = np.flatnonzero(keep)
+    np.minimum.at(first, region[at], at)
+    np.maximum.at(last, region[at], at)
+    cover = np.zeros(len(texts) + 1, int)  # lines between two kept ones of a region outside articles
+    spans = [(a, b) for r, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)) if b > a and not inside[a]]
+    for a, b in spans:
+        cover[a] += 1
+        cover[b] -= 1
+    return keep | ((np.cumsum(cover)[:-1] > 0) & ~links & ~inside)
 
 
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     if not html:
         return ""
-    lines = Lines()
-    lines.feed(html)
-    lines.end()
-    keep = content(lines.texts, lines.tags, lines.regions, lines.aside, lines.links, sigma)
-    return "\n".join(t for t, k in zip(lines.texts, keep, strict=True) if k)
+    page = Lines()
+    page.feed(html)
+    page.end()
+    gone = page.left_out()
+    texts, tags, linked, regions = [], [], [], []
+    for parts, count, region in page.lines:
+        stay = [p for p in parts if p[1] < 0 or not gone[p[1]]]
+        text = " ".join("".join(p[0] for p in stay).split())
+        if text:
+            texts.append(text)
+            tags.append(count)
+            linked.append(sum(len(p[0]) - p[0].count(" ") for p in stay if p[2]))
+            regions.append(region)
+    keep = content(texts, tags, linked, regions, page.marked, sigma)
+    return "\n".join(t for t, k in zip(texts, keep, strict=True) if k)
 
 
 def _extractor(html: int, names: list[str], sigma: float):
