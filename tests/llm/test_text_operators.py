@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 from fixtures import SCHEMA, documents, with_repeats
@@ -242,6 +243,73 @@ def test_language_of_awkward_rows(spark):
     assert langid.predict(table, None).first()["lang_pred_"] == "und"
 
 
+@pytest.mark.parametrize("langs", [("de", "en"), ("de", "en", "es", "fr")])
+def test_halves_of_two_languages_are_ambiguous(spark, langs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.col("lang").isin(*langs)).select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(~langid.held_out()))
+    held = [r for r in docs.filter(langid.held_out()).orderBy("doc_id").collect() if len(r.text.split()) >= 20]
+    by = {v: [r.text.split() for r in held if r.lang == v] for v in langs}
+    pairs = [(a, b, x, y) for a in langs for b in langs if a < b for x, y in zip(by[a], by[b])]
+    mixed = [(i, " ".join(x[:n] + y[:n])) for i, (_, _, x, y) in enumerate(pairs) if (n := min(len(x), len(y)))]
+    found = langid.predict(spark.createDataFrame(mixed, "doc_id long, text string"), model).collect()
+    pure = langid.predict(docs.filter(langid.held_out()), model).collect()
+    assert np.mean([r.lang_ambiguous for r in found]) > 0.85 and np.mean([r.lang_ambiguous for r in pure]) < 0.02
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the house {i % 7} is big and the street is long", "en") for i in range(4000)] + [(9000 + i, f"das haus {i} ist gross und die strasse", "de") for i in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(table, sample=40)
+    assert model.languages == ["de", "en"]
+    assert {r.lang_pred for r in langid.predict(table.filter("doc_id >= 9000"), model).collect()} == {"de"}
+    from textmill.llm.common import bounded
+
+    part = bounded(table, "doc_id", 40, "lang")
+    assert len(part) == 40 and sum(r.lang == "de" for r in part) == 3
+
+
+def test_decoding_matches_the_definition():
+    rng = np.random.default_rng(4)
+    for n in (2, 4, 7):
+        code = langid.codewords(n)
+        model = langid.Model(list("abcdefg"[:n]), code, None, None, rng.uniform(0.1, 1, code.shape[1]))
+        margins = rng.normal(size=(50, code.shape[1])) * 3
+        best, share, gap = model.decoded(margins)
+        for i, m in enumerate(margins):
+            loss = [sum(t * np.log(1 + np.exp(-x * c)) for x, c, t in zip(m, code[k], model.trust)) for k in range(n)]
+            order = np.argsort(loss, kind="stable")
+            assert best[i] == order[0] and gap[i] == pytest.approx(loss[order[1]] - loss[order[0]])
+            assert share[i] == pytest.approx(np.exp(-loss[order[0]]) / np.exp(-np.array(loss)).sum())
+
+
+def test_noisy_or_gradient():
+    """The steps of the descent against differences of the likelihood."""
+    texts, y = ["a b. c", "a. a b", "c", "b c. a"], np.array([1.0, 0.0, 0.0, 1.0])
+    number = np.full(1 << toxicity.BITS, -1, np.int32)
+    first = next(toxicity._blocks(texts))[0]
+    used = np.unique(first.feature)
+    number[used] = np.arange(len(used))
+    bags = toxicity._gathered(texts, number)
+    w = np.linspace(0.1, 0.9, len(used))
+
+    def likelihood(w, bias):
+        odds = np.bincount(bags.row, np.log1p(np.exp(bags.sums(w, bias))), len(y))
+        return sum(np.log(-np.expm1(-s)) * 0.5 / y.mean() if t else -s * 0.5 / (1 - y.mean()) for s, t in zip(odds, y)) / len(y)
+
+    z = bags.sums(w, -1.0)
+    g, g0 = toxicity._gradient(bags, y, z)
+    step = 1e-6
+    assert g0 == pytest.approx(-(likelihood(w, -1 + step) - likelihood(w, -1 - step)) / (2 * step), rel=1e-4)
+    for f in range(len(used)):
+        up, down = w.copy(), w.copy()
+        up[f] += step
+        down[f] -= step
+        assert g[f] == pytest.approx(-(likelihood(up, -1.0) - likelihood(down, -1.0)) / (2 * step), rel=1e-4, abs=1e-7)
+    p = toxicity.Model(used, w, -1.0)
+    by_hand = [1 - np.prod([1 - 1 / (1 + np.exp(-z[s])) for s in np.flatnonzero(bags.row == i)]) for i in range(len(y))]
+    assert p.documents(bags, len(y)) == pytest.approx(by_hand)
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 7, 20])
 def test_codewords_are_apart(n):
     code = langid.codewords(n)

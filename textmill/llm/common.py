@@ -65,9 +65,29 @@ def keyed(df: DataFrame, id_col: str, text_col: str, key: str) -> tuple[DataFram
     return written(ordered.withColumn(key, F.monotonically_increasing_id())), key
 
 
-def bounded(rows: DataFrame, id_col: str, most: int) -> list:
-    """At most `most` rows, those of the least hash of their id, on the driver. Rows are thinned by hash before they are sorted."""
-    total = rows.select(id_col).count()
-    share = min(1.0, 1.3 * most / max(total, 1))
+def bounded(rows: DataFrame, id_col: str, most: int, strata: str | None = None) -> list:
+    """At most `most` rows on the driver, those of the least hash of their id, in the order of the hash.
+
+    With a column `strata` each of its values gets an equal part of `most`, and what some don't fill goes to the
+    others; so no value is missed for being rare. Rows are thinned by hash before they are sorted, by value.
+    """
+    bits = 1 << 20
     h = F.xxhash64(F.col(id_col).cast("string"))
-    return rows.filter(F.pmod(h, F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy(F.pmod(h, F.lit(1 << 20)), h, id_col).limit(most).collect()
+    low = F.pmod(h, F.lit(bits))
+    if strata is None:
+        total = rows.select(id_col).count()
+        share = min(1.0, 1.3 * most / max(total, 1))
+        return rows.filter(low <= int(share * bits)).orderBy(low, h, id_col).limit(most).collect()
+    counts = {r[0]: r[1] for r in rows.groupBy(strata).count().orderBy(F.col("count").desc(), strata).limit(most).collect()}
+    quota, left, free = {}, most, sorted(counts, key=lambda v: (counts[v], str(v)))
+    for i, v in enumerate(free):
+        quota[v] = min(counts[v], max(1, left // (len(free) - i)))
+        left -= quota[v]
+    limit = F.create_map(*(F.lit(x) for v in free for x in (v, int(min(1.0, (1.3 * quota[v] + 50) / counts[v]) * bits)))) if free else F.create_map()
+    near = rows.filter(low <= F.coalesce(F.try_element_at(limit, F.col(strata)), F.lit(-1))) if free else rows.limit(0)
+    out: list = []
+    for r in near.orderBy(low, h, id_col).collect():  # 1.3 times `most` and 50 rows a value, at most
+        if quota[r[strata]] > 0:
+            quota[r[strata]] -= 1
+            out.append(r)
+    return out

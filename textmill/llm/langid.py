@@ -3,13 +3,16 @@
 Each language gets a codeword of bits. For each bit, one binary classifier (a logistic model over hashed byte
 n-grams of the lower-cased text, n = 1..3, mean over the text) tells the languages whose bit is 1 from the others.
 Decoding is loss-weighted: a language's loss is the sum over bits of the logistic loss of its bit against the
-classifier's margin, each bit weighted by its accuracy on the training rows; the least loss wins, and a document
-whose two least losses are close is flagged as ambiguous.
+classifier's margin, each bit weighted by its accuracy on the training rows; the least loss wins. A document is
+flagged as ambiguous if its two least losses are closer than AMBIGUOUS times what is usual (the median) among the
+training rows of the language that won.
 
 Defined results: `und` with score 0 and ambiguous for null texts and texts without a letter; nulls among the labels
-are not learned; a language of the fewest rows is learned like the others; equal losses go to the smaller name;
-without any labelled row every document is `und`. Training uses at most `sample` labelled rows, those with the
-least hash of their id, and whole texts of them up to `sample_bytes` altogether; prediction reads every text whole.
+are not learned; equal losses go to the smaller name; with one language nothing else is ambiguous; without any
+labelled row every document is `und`. Training uses at most `sample` labelled rows, an equal part for each language
+and of these the ones with the least hash of their id, so a language of few rows is learned like the others (the
+`sample` most frequent languages, if there are more); of texts of up to `longest` bytes, as many as `sample_bytes`
+hold. Prediction reads every text whole.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from . import kernels as K
 from .common import bounded, free_name
 
 BUCKETS = 1 << 12
-SAMPLE, SAMPLE_BYTES = 1500, 8 << 20
+SAMPLE, SAMPLE_BYTES, LONGEST = 1500, 8 << 20, 128 << 10
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
-AMBIGUOUS = 0.5
+AMBIGUOUS = 0.4
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -94,6 +97,7 @@ class Model:
 
     def __init__(self, languages: list[str], code: np.ndarray, weights: np.ndarray, bias: np.ndarray, trust: np.ndarray) -> None:
         self.languages, self.code, self.weights, self.bias, self.trust = languages, code, weights, bias, trust
+        self.usual = np.zeros(len(languages))  # median gap between the two least losses, by language
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows, bits = len(offsets) - 1, self.code.shape[1]
@@ -110,12 +114,13 @@ class Model:
                 sums[:, b] += part[ends[1:]] - part[ends[:-1]]
         return sums / np.maximum(total, 1)[:, None] + self.bias
 
-    def decoded(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language of least weighted loss, and its share of exp(-loss)."""
+    def decoded(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the language of least weighted loss, its share of exp(-loss), and how far the next loss is."""
         loss = (np.logaddexp(0, -margins[:, None, :] * self.code[None]) * self.trust).sum(-1)
         best = loss.argmin(axis=1)
         e = np.exp(loss.min(axis=1, keepdims=True) - loss)
-        return best, 1 / e.sum(axis=1)
+        least = np.partition(loss, 1, axis=1)[:, :2] if loss.shape[1] > 1 else np.tile([0.0, np.inf], (len(loss), 1))
+        return best, 1 / e.sum(axis=1), least[:, 1] - least[:, 0]
 
 
 def fit(texts: list[str], labels: list[str], epochs: int = 60) -> Model | None:
@@ -142,14 +147,18 @@ def fit(texts: list[str], labels: list[str], epochs: int = 60) -> Model | None:
         w += rate * (x.T @ pull)
         bias += 0.5 * pull.sum(axis=0)
     right = (row_weight * (y * (x @ w + bias) > 0)).sum(axis=0)
-    return Model(languages, code, (w / scale[:, None]).T.copy(), bias, np.clip(right, 0.05, 1.0))
+    model = Model(languages, code, (w / scale[:, None]).T.copy(), bias, np.clip(right, 0.05, 1.0))
+    best, _, gap = model.decoded((x @ w + bias).astype(np.float64))
+    if len(languages) > 1:
+        model.usual = np.array([np.median(gap[best == i]) if (best == i).any() else 0.0 for i in range(len(languages))])
+    return model
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
-    """Fits on a bounded sample: the rows of least hash, as many as fit in both bounds."""
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, longest: int = LONGEST) -> Model | None:
+    """Fits on a bounded sample: of each language the rows of least hash, as many as the bounds hold."""
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"))
     texts, labels, size = [], [], 0
-    for r in bounded(rows.filter(F.octet_length("t") <= sample_bytes // 64), "i", sample):
+    for r in bounded(rows.filter(F.octet_length("t") <= longest), "i", sample, "l"):
         size += len(r["t"].encode())
         if size > sample_bytes:
             break
@@ -163,15 +172,15 @@ def _predictor(model: Model | None, text: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            langs, scores = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters))
+            langs, scores, close = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters)), np.ones(len(letters), bool)
             if model:
                 data, offsets = K.buffers(batch.column(text))
                 names_of = np.array(model.languages, object)
                 for i, j in K.blocks(offsets):
-                    best, score = model.decoded(model.margins(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-                    langs[i:j], scores[i:j] = names_of[best], score
-                langs[~letters], scores[~letters] = UNKNOWN, 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores), pa.array(scores < AMBIGUOUS)], names=names)
+                    best, score, gap = model.decoded(model.margins(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                    langs[i:j], scores[i:j], close[i:j] = names_of[best], score, gap < AMBIGUOUS * model.usual[best]
+                langs[~letters], scores[~letters], close[~letters] = UNKNOWN, 0.0, True
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores), pa.array(close)], names=names)
 
     return run
 

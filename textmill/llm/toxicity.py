@@ -8,8 +8,10 @@ Only document labels are needed, and the trained sentence scores locate the offe
 
 Defined results: a null or wordless text has one empty sentence, so it scores as the bias says; rows without a
 label or an id aren't learned; without labelled rows of both kinds every score is the share of toxic rows (0 when
-there are none). Training reads at most `sample` labelled rows (those of least id hash) and `sample_bytes` of text;
-scoring reads every text whole, in parallel, with weights of a fixed size.
+there are none). Training reads at most `sample` labelled rows, those of least id hash, of texts of up to `longest`
+bytes as many as `sample_bytes` hold, and gives weights to at most `most_features` features, those of the largest z.
+The sample keeps the share of the labels, which the bias needs. Scoring reads every text whole, in parallel, with
+weights of a fixed size.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .common import bounded, free_name
 from .langid import folded
 
 BITS = 22
-SAMPLE, SAMPLE_BYTES = 8000, 16 << 20
+SAMPLE, SAMPLE_BYTES, LONGEST = 8000, 16 << 20, 256 << 10
 PREFIXES = (3, 4, 5, 6, 7, 8)
 LEAST_Z, MOST_FEATURES = 4.0, 4096
 STOP = np.isin(np.arange(256), [0x0A, 0x21, 0x2E, 0x3F])
@@ -141,18 +143,23 @@ def _gathered(texts: list[str], number: np.ndarray) -> Bags:
     return out
 
 
+def _gradient(bags: Bags, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, float]:
+    """Of the negative log likelihood of noisy-or, both labels weighing the same: by the features' weights, and by the bias. z: the sentences' logits."""
+    share = y.mean()
+    total = np.clip(np.bincount(bags.row, softplus(z), len(y)), 1e-9, 50)
+    pull = np.where(y > 0, -0.5 / share / np.expm1(total), 0.5 / (1 - share)) / len(y)
+    dz = pull[bags.row] / (1 + np.exp(-np.clip(z, -50, 50)))
+    return np.bincount(bags.feature, dz[bags.of]), dz.sum()
+
+
 def _descend(bags: Bags, y: np.ndarray, features: int, epochs: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
     """Noisy-or likelihood, both labels weighing the same, by adaptive gradient steps; weights stay positive, as evidence is."""
     share = y.mean()
     w, bias = np.zeros(features), float(np.log(share / (1 - share)) - np.log(max(1.0, bags.sentences / len(y)))) - 1
     mean, square, m0, s0 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, epochs + 1):
-        z = bags.sums(w, bias)
-        total = np.clip(np.bincount(bags.row, softplus(z), len(y)), 1e-9, 50)
-        pull = np.where(y > 0, -0.5 / share / np.expm1(total), 0.5 / (1 - share)) / len(y)
-        dz = pull[bags.row] / (1 + np.exp(-np.clip(z, -50, 50)))
-        g = np.bincount(bags.feature, dz[bags.of], features) + decay * w
-        g0 = dz.sum()
+        g, g0 = _gradient(bags, y, bags.sums(w, bias))
+        g = np.append(g, np.zeros(features - len(g))) + decay * w
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         m0, s0 = 0.9 * m0 + 0.1 * g0, 0.99 * s0 + 0.01 * g0 * g0
         fix = np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
@@ -161,15 +168,15 @@ def _descend(bags: Bags, y: np.ndarray, features: int, epochs: int, rate: float,
     return w, bias
 
 
-def _trained(texts: list[str], y: np.ndarray, epochs: int, rate: float, decay: float) -> Model:
-    features = _associated(texts, y, LEAST_Z, MOST_FEATURES)
+def _trained(texts: list[str], y: np.ndarray, epochs: int, rate: float, decay: float, most: int) -> Model:
+    features = _associated(texts, y, LEAST_Z, most)
     model = Model(features, np.zeros(len(features)), 0.0)
     bags = _gathered(texts, model.numbers())
     model.weights, model.bias = _descend(bags, y, len(features), epochs, rate, decay)
     return model
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 200, rate: float = 0.2, decay: float = 1e-6, threshold: float = 0.7) -> Model:
+def fit(texts: list[str], labels: list[int], epochs: int = 200, rate: float = 0.2, decay: float = 1e-6, threshold: float = 0.7, most_features: int = MOST_FEATURES) -> Model:
     """Trains on four fifths, and shifts the log odds so that `threshold` is the best cut on the other fifth; then trains on all."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
@@ -178,7 +185,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 200, rate: float = 0.
     hold = np.arange(len(y)) % 5 == 0
     shift = 0.0
     if min(y[hold].sum(), (1 - y[hold]).sum(), y[~hold].sum(), (1 - y[~hold]).sum()) > 0:
-        inner = _trained([t for t, h in zip(texts, hold, strict=True) if not h], y[~hold], epochs, rate, decay)
+        inner = _trained([t for t, h in zip(texts, hold, strict=True) if not h], y[~hold], epochs, rate, decay, most_features)
         n = int(hold.sum())
         odds = inner.odds(_gathered([t for t, h in zip(texts, hold, strict=True) if h], inner.numbers()), n)
         order = np.argsort(-odds, kind="stable")
@@ -186,13 +193,13 @@ def fit(texts: list[str], labels: list[int], epochs: int = 200, rate: float = 0.
         f1 = 2 * hit / (np.arange(1, n + 1) + y[hold].sum())
         best = int(f1.argmax())
         shift = float(np.log(threshold / (1 - threshold)) - (odds[order[best]] + odds[order[min(best + 1, n - 1)]]) / 2)
-    model = _trained(texts, y, epochs, rate, decay)
+    model = _trained(texts, y, epochs, rate, decay, most_features)
     model.scale = (1.0, shift)
     return model
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    rows = labelled.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.coalesce(F.octet_length(text_col), F.lit(0)) <= sample_bytes // 64))
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, longest: int = LONGEST, most_features: int = MOST_FEATURES) -> Model:
+    rows = labelled.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.coalesce(F.octet_length(text_col), F.lit(0)) <= longest))
     texts, labels, size = [], [], 0
     for r in bounded(rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")), "i", sample):
         size += len((r["t"] or "").encode())
@@ -200,7 +207,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             break
         texts.append(r["t"] or "")
         labels.append(int(r["y"] > 0))
-    return fit(texts, labels)
+    return fit(texts, labels, most_features=most_features)
 
 
 def _scorer(model: Model, text: int, names: list[str], locate: float | None):
