@@ -133,10 +133,27 @@ def test_html_query_against_the_template(spark):
 # ---- mixing ------------------------------------------------------------------------------------------------------
 
 
-def test_targets_reshare_what_is_over():
-    got = mixing.targets([100, 100, 100, 0], [5, 2, 1, 5], 1.5, 2.0)
-    assert got == pytest.approx([200, 450 * 0 + 250 * 2 / 3, 250 / 3, 0])
-    assert sum(mixing.targets([10, 1000], [5, 2])) == pytest.approx(1515)
+def targets(sizes, weights, share=1.5, most=2.0):
+    """Round by round, as the task says it."""
+    left, out = share * sum(sizes), [0.0] * len(sizes)
+    free = [i for i, s in enumerate(sizes) if s > 0]
+    while free and left > 0:
+        total = sum(weights[i] for i in free)
+        over = [i for i in free if left * weights[i] / total > most * sizes[i]]
+        for i in over or free:
+            out[i] = most * sizes[i] if over else left * weights[i] / total
+        if not over:
+            break
+        left -= sum(out[i] for i in over)
+        free = [i for i in free if i not in over]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100, 0], [10, 1000], [1, 1, 1, 50, 7000, 3], [0, 0], [5]])
+def test_targets_reshare_what_is_over(spark, sizes):
+    weights = [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))]
+    table = spark.createDataFrame([(i, s, w) for i, (s, w) in enumerate(zip(sizes, weights))], "i int, size long, weight double")
+    assert [r.target for r in mixing.with_targets(table, 1.5, 2.0).orderBy("i").collect()] == pytest.approx(targets(sizes, weights))
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 4097])
@@ -145,30 +162,63 @@ def test_permutations(n):
     assert sorted(a.tolist()) == list(range(n)) and (n < 50 or (a != mixing.permuted(np.arange(n), n, 3, 1, 17)).any())
 
 
-def test_draws_meet_their_totals():
-    slots = [1000, 10, 0, 333]
-    counts = mixing.shard_counts(slots, 128, 1)
-    assert counts.sum(axis=0).tolist() == slots and (counts >= 0).all() and (counts[:-1].sum(axis=1) <= 128).all()
+@pytest.mark.parametrize("slots, shards", [(1000, 7), (3, 1000), (1, 1), (70000, 200_000), (5, 20)])
+def test_draws_meet_their_totals(slots, shards):
+    drawn = [(s, n) for part in mixing.spread(5, slots, shards, 1) for s, n in zip(*(x.tolist() for x in part))]
+    assert sum(n for _, n in drawn) == slots and len({s for s, _ in drawn}) == len(drawn) and all(0 <= s < shards and n > 0 for s, n in drawn)
+
+
+def brute_mix(rows, slots, block):
+    """Sizes, targets and words taken, from the definition and the drawn (source number, block) pairs."""
+    from collections import Counter
+
+    names = sorted({r[3] for r in rows}, key=lambda v: (v is None, v or ""))
+    size = {v: sum(len((r[1] or "").encode().split()) for r in rows if r[3] == v) for v in names}
+    target = dict(zip(names, targets([size[v] for v in names], [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))])))
+    times = Counter((r["_source"], r.block) for r in slots)
+    words = {v: sum(n * max(1, min(block, size[v] // mixing.PARTS)) for (s, _), n in times.items() if names[s] == v) for v in names}
+    return size, target, words
 
 
 def test_mix_of_awkward_rows(spark):
-    rows = with_repeats(documents(6))
-    docs, blocks, slots = mixing.mix(spark.createDataFrame(rows, SCHEMA), block=16, shard_slots=32)
+    rows = with_repeats(documents(6)) + [documents(6)[2]] * 40 + [(i % 2, f"one w{i} two", "en", "s1", *documents(6)[0][4:]) for i in range(60)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    docs, blocks, slots = mixing.mix(table, block=16, shard_slots=32)
     got = docs.collect()
-    assert len(got) == len(rows) and sorted(r["size"] for r in got) == sorted(len((r[1] or "").encode().split()) for r in rows)
-    by = {}
-    for r in got:
-        assert r.taken <= 2 * r["size"]
-        by.setdefault(r["source"], []).append(r)
-    for rs in by.values():
-        assert sum(r["size"] for r in rs) == rs[0].source_size and abs(sum(r.taken for r in rs) - rs[0].target) <= 32
-    assert sum(rs[0].target for rs in by.values()) == pytest.approx(1.5 * sum(r["size"] for r in got))
-    again = mixing.mix(spark.createDataFrame(rows, SCHEMA), block=16, shard_slots=32)[0].collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r["size"]) for r in got) == sorted((r[0] is None, r[0] or 0, len((r[1] or "").encode().split())) for r in rows)
+    size, target, words = brute_mix(rows, slots.collect(), 16)
+    for v in size:
+        mine = [r for r in got if r["source"] == v]
+        assert all((r.source_size, r.target) == (size[v], pytest.approx(target[v])) and r.taken <= 2 * r["size"] for r in mine)
+        assert abs(sum(r.taken for r in mine) - target[v]) <= 0.01 * target[v] + 16 and abs(sum(r.taken for r in mine) - words[v]) <= 32
     key = lambda r: tuple(str(x) for x in r)
-    assert sorted(map(key, got)) == sorted(map(key, again))
+    for again in (table.repartition(5), table.repartition(3, "text"), table.orderBy(F.col("text").desc()).coalesce(1)):
+        assert sorted(map(key, mixing.mix(again, block=16, shard_slots=32)[0].collect())) == sorted(map(key, got))
     assert mixing.mix(spark.createDataFrame([], SCHEMA))[0].count() == 0
 
 
+@pytest.mark.parametrize("words", [1, 7, 150, 300, 3000])
+def test_small_sources_come_near_their_target(spark, words):
+    rows = [(i, " ".join(["w"] * n), "s0") for i, n in enumerate([words // 3, words - words // 3])] + [(9, "w " * 40000, "s1"), (10, "w " * 9000, "s2")]
+    got = [r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))[0].collect() if r["source"] == "s0"]
+    assert abs(sum(r.taken for r in got) - got[0].target) <= max(1, 0.01 * got[0].target)
+
+
+def test_blocks_and_shards_are_even(spark):
+    rows = [(i, " ".join(["w"] * (20 + i % 50)), f"s{i % 4}") for i in range(800)]
+    docs, blocks, slots = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=16, shard_slots=64)
+    got = slots.collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["_source"], {}).setdefault(r.block, []).append(r.shard)
+    for held in by.values():
+        assert max(map(len, held.values())) - min(map(len, held.values())) <= 1
+    shards = {s: sorted(r.slot for r in got if r.shard == s) for s in {r.shard for r in got}}
+    assert all(v == list(range(len(v))) for v in shards.values()) and max(map(len, shards.values())) < 2.5 * 64
+    most = [sum(r["_source"] == 0 for r in got if r.shard == s) / len(v) for s, v in shards.items() if len(v) > 30]
+    assert np.std(most) < 0.12
+
+
 def test_mix_holds_the_blocks_words(spark):
     rows = documents(7, 20)
     table = spark.createDataFrame(rows, SCHEMA)

@@ -22,12 +22,11 @@ import re
 import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
@@ -95,22 +94,6 @@ def _chained(tokenizer: str | None):
     return run
 
 
-def _ranked(df: DataFrame) -> DataFrame:
-    """df, which is sorted, with its row's number (rank). Written, so that numbers stay."""
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], names=[*batch.schema.names, "row"])
-            at += batch.num_rows
-
-    rows = written(df.withColumn("part", F.spark_partition_id()).mapInArrow(number, f"{', '.join(f'{n} {t}' for n, t in df.dtypes)}, part int, row long"))
-    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    starts = sizes.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return rows.join(starts, "part").withColumn("rank", F.col("from") + F.col("row")).drop("part", "row", "from")
-
-
 def prefix_tree(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, paths).
 
@@ -126,7 +109,7 @@ def prefix_tree(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     turns = written(turns)
     # a conversation's keys, 8 bytes a turn, are together once; equal paths are one
     keys = turns.groupBy("conv", "is_null").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "a"))), lambda x: x["a"]).alias("keys"))
-    ranked = _ranked(keys.orderBy("keys", "conv", "is_null").select("conv", "is_null"))
+    ranked = numbered(keys.orderBy("keys", "conv", "is_null").select("conv", "is_null"), "rank")
     placed = turns.join(ranked, ["conv", "is_null"])
     owner = placed.groupBy("a", "b").agg(F.min("rank").alias("rank"))
     nodes = turns.groupBy("a", "b").agg(

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +67,26 @@ def keyed(df: DataFrame, id_col: str, text_col: str, key: str) -> tuple[DataFram
     return written(ordered.withColumn(key, F.monotonically_increasing_id())), key
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, which is sorted, with the number of each row in the column `name`. Written, so that numbers stay.
+
+    Rows are counted within their partition, and partitions (a row each) are summed.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(at, at + batch.num_rows), pa.int64())], names=[*batch.schema.names, "_at"])
+            at += batch.num_rows
+
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType())])
+    rows = written(df.withColumn("_part", F.spark_partition_id()).mapInArrow(number, schema))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_from") + F.col("_at")).drop("_part", "_at", "_from")  # a row per partition
+
+
 def bounded(rows: DataFrame, id_col: str, most: int, strata: str | None = None) -> list:
     """At most `most` rows on the driver, those of the least hash of their id, in the order of the hash.
 
