@@ -122,8 +122,7 @@ def test_neighbours_with_copies_and_unusable_vectors(spark):
     rows = [(i, [float(x) for x in v], "x") for i, v in enumerate(vectors)]
     odd = [(1000, None, "x"), (1020, [], "x"), (1040, [0.0] * 8, "x"), (1060, [1.0, None] * 4, "x"), (1080, [float("nan")] * 8, "x"), (1100, [float("inf")] * 8, "x"), (None, [1.0] * 8, "x"), (1120, [1.0] * 3, "x")]
     table = spark.createDataFrame(rows + odd + rows[:2], "vec_id long, embedding array<double>, node string")
-    graphs, members = ann.index(table, k=20, shard=150)
-    found = ann.nearest(graphs, members, table.filter("vec_id % 10 = 0")).collect()
+    found = ann.nearest(ann.index(table, k=20, shard=150), table.filter("vec_id % 10 = 0"), block_bytes=900).collect()
     ids, hits, total = np.arange(400), 0, 0
     for q in range(0, 400, 10):
         got = sorted((r["rank"], r["id"], r["score"]) for r in found if r["query_id"] == q)
@@ -137,8 +136,30 @@ def test_neighbours_with_copies_and_unusable_vectors(spark):
     assert hits / total > 0.9
     assert not [r for r in found if r["query_id"] >= 1000]
     empty = spark.createDataFrame([], table.schema)
-    graphs, members = ann.index(empty)
-    assert ann.nearest(graphs, members, empty).count() == 0
+    assert ann.nearest(ann.index(empty), empty).count() == 0
+
+
+@pytest.mark.parametrize("tail", [1.0, 1e4])
+def test_long_vectors_do_not_blur_the_others(tail):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 24)) * rng.pareto(2.0, (3000, 1)).clip(0.1)
+    x[7] *= tail
+    q = rng.normal(size=(60, 24))
+    edges, entry = ann.build(x)
+    found = ann.search(ann.extended(x), edges, entry, q)
+    score = q @ x.T
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(set(w) & set(f)) / 20 for w, f in zip(want.tolist(), found.tolist())]) > 0.88
+
+
+def test_a_third_of_equal_vectors_is_a_few_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [1.0, 2.0, 0.5] if i % 3 == 0 else [float(v) for v in rng.normal(size=3)]) for i in range(3000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    graphs = ann.index(table, k=5).collect()
+    assert sum(len(g.ids) // 8 for g in graphs) == 2000 + 6
+    found = ann.nearest(ann.index(table, k=5), table.filter("vec_id IN (0, 3000, 33)"), k=5).orderBy("query_id", "rank").collect()
+    assert [r.query_id for r in found] == [0] * 5 + [33] * 5 and all(r.id != r.query_id for r in found)
 
 
 def test_recall_of_the_query(spark):

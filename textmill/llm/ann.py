@@ -1,53 +1,67 @@
 """Approximate nearest neighbours by largest inner product, on a robust-pruned directed graph per shard.
 
-Vectors get one more component, sqrt(most^2 - |x|^2), so that the largest inner product is the least distance. A
-shard's graph starts with random edges. Batches of points search it greedily; what their beams meet are proposed as
-neighbours. Pruning takes the nearest proposal, drops all that are nearer to it (times `alpha`) than to the point,
-and repeats, which keeps edges that lead in different directions. Edges are added in reverse, and pruned again where
-a point has too many. A query's beam runs over every shard; what it finds is scored on the original vectors in
-double precision.
+Vectors get one more component, so that all have the norm of the longest and the largest inner product is the least
+distance. A shard's graph starts with random edges. Batches of points search it greedily; what their beams meet are
+proposed as neighbours. Pruning takes the nearest proposal, drops all that are nearer to it (times `alpha`) than to
+the point, and repeats, which keeps edges that lead in different directions. Edges are added in reverse, and pruned
+again where a point has too many. A query's beam runs over every shard; what it finds is scored on the original
+vectors in double precision.
 
-Equal vectors are one node; its smallest ids stand in for it, as many as a result can hold, so copies in any number
-cost nothing. Shards hold about `shard` nodes, by hash of the id. Queries meet shards in blocks.
+Vectors are shuffled once, to their shard by hash of the vector, about `shard` to each. Equal vectors are one node with
+its smallest ids, as many as a result can hold; more of them don't leave the partition they are read in. Graphs stay
+where they are written: queries come to them in blocks of BLOCK_BYTES, and a task merges what a query finds in all of
+its shards, so results are shuffled once per query and task.
 
 Defined results: vectors that are null, empty, zero, or hold nulls or non-finite components take no part, neither as
 queries nor as candidates; nor do rows without an id. Vectors meet those of their own length only. Rows that share
 the query's id are its own and no candidates; equal scores go to the smaller id; without candidates a query has no
-rows.
+rows. Repeated queries are one. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import written
 
 SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA, BLOCK = 4096, 32, 48, 64, 1.2, 512
-GRAPH = "dim int, shard int, ids binary, vectors binary, edges binary, entry int, nodes int"
-FOUND = "query_id long, node long, score double"
+#: Queries that are sent to all graphs at a time.
+BLOCK_BYTES = 16 << 20
+#: ids: of all nodes, one after another; counts: how many each node has; single: whether vectors are of single precision.
+GRAPH = "dim int, shard int, ids binary, counts binary, vectors binary, single boolean, edges binary, entry int"
+FOUND = "query_id long, id long, score double"
 
 
 def extended(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to a norm of 1 at most, with the component that makes the norms equal, less 1: distances don't change, and short vectors keep their precision."""
+    x = x / max(float(np.abs(x).max(initial=0)), 1e-300)
     norm = np.einsum("ij,ij->i", x, x)
-    return np.concatenate([x, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]], axis=1).astype(np.float32)
+    most = float(norm.max(initial=0)) or 1.0
+    x, norm = x / np.sqrt(most), norm / most
+    return np.concatenate([x, -(norm / (1 + np.sqrt(np.maximum(1 - norm, 0))))[:, None]], axis=1).astype(np.float32)
 
 
-def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, distances) of the beam of each query, nearest first; -1 where it isn't full. Distances lack |query|^2."""
+def beam_search(x: np.ndarray, edges: np.ndarray, entry: np.ndarray, queries: np.ndarray, beam: int, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, distances) of the beam of each query, nearest first; -1 where it isn't full. Distances lack |query|^2; with squares of 0 they are inner products."""
     n, b, degree = len(edges), len(queries), edges.shape[1]  # x has one row more, which stands for no node
     rows = np.arange(b)
     nodes = np.full((b, beam), -1, np.int32)
     far = np.float32(np.inf)
     dist = np.full((b, beam), far, np.float32)
     open_ = np.zeros((b, beam), bool)
-    nodes[:, 0] = entry
-    dist[:, 0] = squares[entry] - 2 * queries @ x[entry]
-    open_[:, 0] = True
+    start = squares[entry] - 2 * queries @ x[entry].T
+    order = np.argsort(start, axis=1)
+    nodes[:, : len(entry)] = entry[order]
+    dist[:, : len(entry)] = np.take_along_axis(start, order, axis=1)
+    open_[:, : len(entry)] = True
     seen = np.zeros((b, n + 1), bool)
     seen[:, entry] = True
     seen[:, n] = True
@@ -118,7 +132,7 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     order = rng.permutation(n)
     for lo in range(0, n, batch):
         points = order[lo : lo + batch]
-        met, _ = beam_search(padded, np.where(edges < 0, n, edges), entry, x[points], beam, squares)
+        met, _ = beam_search(padded, np.where(edges < 0, n, edges), np.array([entry]), x[points], beam, squares)
         edges[points] = pruned(x, points, np.concatenate([met, edges[points]], axis=1), degree, alpha)
         source, target = np.repeat(points, degree), edges[points].ravel()
         source, target = source[target >= 0], target[target >= 0]
@@ -141,83 +155,165 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     return edges, entry
 
 
-def search(vectors: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
-    """Nodes of each query's beam, nearest first; all nodes in shards that the beam could hold."""
-    n = len(vectors)
+def search(x: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
+    """Nodes of each query's beam over the extended vectors x, nearest first; all nodes in shards that the beam could hold."""
+    n = len(x)
     if n <= beam:
         return np.tile(np.arange(n), (len(queries), 1))
-    x = np.concatenate([extended(vectors), np.zeros((1, vectors.shape[1] + 1), np.float32)])
-    squares = np.einsum("ij,ij->i", x, x).astype(np.float32)
-    q = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
-    return np.concatenate([beam_search(x, np.where(edges < 0, n, edges), entry, q[i : i + BLOCK], beam, squares)[0] for i in range(0, len(q), BLOCK)])
+    x = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
+    longest = np.maximum(np.abs(queries).max(axis=1, keepdims=True), 1e-300)
+    q = np.concatenate([queries / longest, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+    edges, flat = np.where(edges < 0, n, edges), np.zeros(n + 1, np.float32)
+    # the last component is least for the longest vectors, which many queries want
+    starts = np.union1d(np.argpartition(x[:n, -1], beam - 1)[: beam - 1], [entry])
+    return np.concatenate([beam_search(x, edges, starts, q[i : i + BLOCK], beam, flat)[0] for i in range(0, len(q), BLOCK)])
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the rows that take part."""
+    """(id, v) of the rows that take part; single precision stays so."""
+    element = vectors.schema[vector_col].dataType.elementType
+    kind = "float" if isinstance(element, T.FloatType) else "double"
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).filter(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+
+
+def _fewer_copies(most: int):
+    """Of the rows of a partition with the same hash of the vector at most about `most` a batch, the smallest ids: none that is larger than as many that went before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, list[int]] = {}  # hash to its smallest ids, as many as `most`; a partition's rows at most
+        for batch in batches:
+            ids, h = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            keep = np.ones(len(ids), bool)
+            for i, (key, one) in enumerate(zip(h.tolist(), ids.tolist(), strict=True)):
+                held = seen.get(key)
+                if held is None:
+                    seen[key] = [one]
+                elif len(held) < most:
+                    bisect.insort(held, one)
+                elif one < held[-1]:
+                    held.pop()
+                    bisect.insort(held, one)
+                else:
+                    keep[i] = False
+            yield (batch if keep.all() else batch.filter(pa.array(keep))).select([0, 1, 2, 3])
+
+    return run
 
 
-def _graphs(degree: int, beam: int, alpha: float):
+def _graphs(most: int, degree: int, beam: int, alpha: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("id")
-        ids = table.column("id").to_numpy()
-        dim = table.column("dim")[0].as_py()
-        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+        ids, dim = table.column("id").to_numpy(), table.column("dim")[0].as_py()
+        x = _matrix(table.column("v"), dim) + 0.0  # -0.0 is 0.0
+        _, first, node = np.unique(np.ascontiguousarray(x).view(f"V{x.dtype.itemsize * dim}").ravel(), return_index=True, return_inverse=True)
+        order = np.argsort(first)  # nodes by their smallest id
+        node = np.argsort(order)[node]
+        by = np.lexsort((ids, node))
+        rank = np.arange(len(by)) - np.searchsorted(node[by], node[by])
+        by = by[rank < most]
+        x = x[first[order]]
         edges, entry = build(x, degree, beam, alpha)
-        row = {"dim": [dim], "shard": [table.column("shard")[0].as_py()], "ids": [ids.astype(np.int64).tobytes()], "vectors": [x.astype(np.float64).tobytes()], "edges": [edges.tobytes()], "entry": [entry], "nodes": [len(ids)]}
-        return pa.table(row, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("edges", pa.binary()), ("entry", pa.int32()), ("nodes", pa.int32())]))
+        row = {
+            "dim": dim, "shard": table.column("shard")[0].as_py(), "ids": ids[by].tobytes(), "counts": np.bincount(node[by]).astype(np.int32).tobytes(),
+            "vectors": x.tobytes(), "single": x.dtype == np.float32, "edges": edges.tobytes(), "entry": entry,
+        }
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.int32()]
+        return pa.Table.from_pylist([row], schema=pa.schema(list(zip(row, kinds, strict=True))))
 
     return run
 
 
-def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shard: int = SHARD, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
-    """(graphs, members): a row per shard, and the k + 1 smallest ids of each node (equal vectors)."""
-    rows = usable(vectors, id_col, vector_col)
-    copies = Window.partitionBy("v").orderBy("id")
-    held = rows.withColumn("n", F.row_number().over(copies)).filter(F.col("n") <= k + 1)
-    held = written(held.withColumn("node", F.min("id").over(Window.partitionBy("v"))))
-    nodes = held.filter("n = 1").select("id", "v", F.size("v").alias("dim"))
-    sizes = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
-    sharded = nodes.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")).select("dim", "shard", "id", "v")
-    shards = sizes.agg(F.sum("shards")).first()[0] or 1
+def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shard: int = SHARD, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> DataFrame:
+    """A row per shard: its graph, its vectors, and the k + 1 smallest ids of each node (equal vectors). Written."""
+    rows = usable(vectors, id_col, vector_col).withColumn("dim", F.size("v"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("dim").count().collect()}  # a row per length
+    shards = {d: -(-n // shard) for d, n in sizes.items()}
+    number = F.lit(1)
+    for d, n in shards.items():
+        number = F.when(F.col("dim") == d, n).otherwise(number)
+    h = F.xxhash64("v")
+    placed = rows.select("dim", F.pmod(F.xxhash64(h, F.lit(1)), number).cast("int").alias("shard"), "id", "v", h.alias("h"))
+    kind = placed.schema["v"].dataType.simpleString()
+    placed = placed.mapInArrow(_fewer_copies(k + 1), f"dim int, shard int, id long, v {kind}")
     # a stated number of partitions, or the few small rows of all shards end in one task
-    graphs = written(sharded.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(_graphs(degree, beam, alpha), GRAPH))
-    return graphs, held.select("node", "id")
+    return written(placed.repartition(max(1, sum(shards.values())), "dim", "shard").groupBy("dim", "shard").applyInArrow(_graphs(k + 1, degree, beam, alpha), GRAPH))
+
 
+def _answers(shared: Broadcast, k: int, beam: int):
+    """Graphs to the k best ids that each query of a block finds in all of them."""
 
-def _answers(k: int, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value  # length to (ids, vectors)
+        best: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
-                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)
-                edges = np.frombuffer(row["edges"], np.int32).reshape(len(ids), -1)
-                q = np.array([a["v"] for a in row["asked"]], np.float64)
-                found = search(x, edges, row["entry"], q, beam)
-                real = found >= 0
-                score = np.einsum("qkd,qd->qk", x[np.maximum(found, 0)], q)
-                node = ids[np.maximum(found, 0)]
-                order = np.lexsort((node, np.where(real, -score, np.inf)))[:, : k + 1]
-                node, score, real = (np.take_along_axis(v, order, axis=1) for v in (node, score, real))
-                asked = np.repeat(np.array([a["id"] for a in row["asked"]]), real.shape[1])[real.ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(node[real]), pa.array(score[real])], names=["query_id", "node", "score"])
+                if dim not in asked:
+                    continue
+                who, q = asked[dim]
+                ids, counts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int32)
+                x = np.frombuffer(row["vectors"], np.float32 if row["single"] else np.float64).reshape(-1, dim)
+                edges = np.frombuffer(row["edges"], np.int32).reshape(len(x), -1)
+                lifted, first = extended(x.astype(np.float64)), np.cumsum(counts) - counts
+                for lo in range(0, len(who), BLOCK):
+                    mine = slice(lo, lo + BLOCK)
+                    found = search(lifted, edges, row["entry"], q[mine].astype(np.float64), beam)
+                    query = np.repeat(np.arange(len(found)), found.shape[1])[found.ravel() >= 0] + lo
+                    node = found.ravel()[found.ravel() >= 0]
+                    score = np.concatenate([np.einsum("ij,ij->i", x[node[i : i + (1 << 14)]].astype(np.float64), q[query[i : i + (1 << 14)]].astype(np.float64)) for i in range(0, len(node), 1 << 14)])
+                    many = counts[node]
+                    at = np.repeat(first[node], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    query, score, one = np.repeat(query, many), np.repeat(score, many), ids[at]
+                    if held := best.get((dim, lo)):
+                        query, one, score = (np.concatenate(v) for v in zip(held, (query, one, score), strict=True))
+                    other = one != who[query]
+                    query, one, score = query[other], one[other], score[other]
+                    order = np.lexsort((one, -score, query))
+                    query, one, score = query[order], one[order], score[order]
+                    near = np.arange(len(query)) - np.searchsorted(query, query) < k
+                    best[dim, lo] = [query[near], one[near], score[near]]
+        for (dim, _), (query, one, score) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(asked[dim][0][query]), pa.array(one), pa.array(score)], names=["query_id", "id", "score"])
 
     return run
 
 
-def nearest(graphs: DataFrame, members: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, beam: int = BEAM, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, id, score): the k nearest found of each query, its own id left out."""
-    q = usable(queries, id_col, vector_col).distinct().withColumn("dim", F.size("v"))
-    total = q.count()
-    q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // block)))))
-    asked = q.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("asked"))  # about `block` queries
-    shards = graphs.select("dim", "shard")
-    work = asked.join(shards, "dim")  # a row per block and shard
-    work = work.join(graphs, ["dim", "shard"]).repartition(max(1, graphs.count()) * max(1, -(-total // block)), "dim", "shard", "block").select("dim", "ids", "vectors", "edges", "entry", "asked")
-    found = work.mapInArrow(_answers(k, beam), FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node")
-    top = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
-    rows = top.join(members, "node").filter("id != query_id")
+def _gathered(rows: list, kind: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(len(r["v"]), []).append(r)
+    return {d: (np.array([r["id"] for r in part], np.int64), np.array([r["v"] for r in part], kind)) for d, part in by.items()}
+
+
+def nearest(graphs: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, beam: int = BEAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, rank, id, score): the k nearest found of each query, its own id left out. graphs: of index() with the same k or more.
+
+    A query id with several vectors has results of all of them, together.
+    """
+    spark = graphs.sparkSession
+    q = usable(queries, id_col, vector_col).distinct()
+    kind = "f4" if isinstance(q.schema["v"].dataType.elementType, T.FloatType) else "f8"
+    q = written(q)
+    total = q.agg(F.sum(F.size("v") * int(kind[1]) + 8)).first()[0] or 0
+    passes = max(1, -(-total // block_bytes))
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    found = []
+    for p in range(passes):
+        part = q.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(passes)) == p) if passes > 1 else q
+        shared = spark.sparkContext.broadcast(_gathered(part.collect(), kind))  # about block_bytes
+        one = graphs.coalesce(tasks).mapInArrow(_answers(shared, k, beam), FOUND)
+        found.append(written(one) if passes > 1 else one)
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
     final = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    if q.count() != q.select("id").distinct().count():
+        rows = rows.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return rows.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -81,8 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    graphs, members = ann.index(vectors)
-    found = ann.nearest(graphs, members, vectors.filter("vec_id % 20 = 0"))
+    found = ann.nearest(ann.index(vectors), vectors.filter("vec_id % 20 = 0"))
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
