@@ -433,9 +433,10 @@ def word_list(text):
     return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
 
 
-@pytest.mark.parametrize("most", [1 << 25, 300])
-def test_hits_match_brute_force(spark, most, monkeypatch):
-    monkeypatch.setattr(decontam, "MOST_BYTES", most)
+@pytest.mark.parametrize("most, piece", [(1 << 25, 20_000), (1 << 25, 3), (500, 7)])
+def test_hits_match_brute_force(spark, most, piece, monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_NODES", most)
+    monkeypatch.setattr(decontam, "PIECE_WORDS", piece)
     rows = with_repeats(documents(8))
     items = [(1, " ".join(rows[0][1].split()[2:20])), (2, "W1, w2"), (3, None), (4, "..."), (2, "w3 w4"), (None, "w5"), (5, rows[5][1]), (6, "É é")]
     found = decontam.decontaminate(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
@@ -461,6 +462,14 @@ def test_hits_match_brute_force(spark, most, monkeypatch):
         assert sum(len(word_list(r.text[s.start : s.end])) for s in r["spans_"]) == r.n_hit
 
 
+def test_many_words_have_their_symbols():
+    symbols, windows = decontam.patterns([("a", " ".join(f"w{i}" for i in range(60_000)))], 10)
+    assert len(set(symbols.values())) == 60_000 and len(windows) == 59_991
+    built = decontam.automaton(type("B", (), {"value": ("x", symbols, windows)}))
+    n, hit, ids = decontam.scan(*built, "zz " + " ".join(f"W{i}" for i in range(55_290, 55_305)) + " zz w1")
+    assert (n, hit.tolist(), ids) == (18, [[1, 16]], ["a"])
+
+
 def test_empty_benchmark_and_table(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     rows = decontam.decontaminate(spark.createDataFrame(documents(), SCHEMA), items)

@@ -1,12 +1,16 @@
 """Benchmark decontamination: one Aho-Corasick automaton over all windows of the test questions and answers.
 
-Texts are normalised (A-Z lower-cased; words are runs of digits, a-z and non-ASCII bytes; one space between words)
-and scanned once. Matches are mapped back to words, and to character offsets of the original text.
+Texts are normalised (A-Z lower-cased; words are runs of digits, a-z and non-ASCII bytes), and every word that an item
+has becomes one symbol, all others another; so the automaton has a node per word of a window, not per byte. Texts are
+scanned once. Matches are mapped back to words, and to character offsets of the original text.
+
+Every worker holds the automaton, so its nodes are counted first (words of the items times the window). Beyond
+MOST_NODES, items are spread over several automata, long ones in pieces that overlap; each scans the texts and writes
+what it found, rows of hit documents only, and the findings of a document are put together.
 
 Defined results: a null or wordless text has no words and no hits; an item without words (or null) has no window;
 items of fewer words than `window` are one window; repeated items count once per id; windows of a null id mark
-words, but no item. An empty benchmark marks nothing. The automaton is held by every worker, so the items are
-measured first and, beyond MOST_BYTES, scanned in several passes of at most that size.
+words, but no item. An empty benchmark marks nothing; an empty table stays empty; repeated rows are marked each.
 """
 
 from __future__ import annotations
@@ -23,36 +27,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import free_name
+from .common import free_name, written
 
 WINDOW = 10
-MOST_BYTES = 32 << 20
+#: About 100 MB of a worker, and 15 MB that are broadcast.
+MOST_NODES = 2_000_000
+PIECE_WORDS = 20_000
 KEEP = np.array([0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or 0x41 <= c <= 0x5A or c >= 0x80 for c in range(256)])
 LOWER = bytes((c + 32 if 0x41 <= c <= 0x5A else c) if KEEP[c] else 0x20 for c in range(256))
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-_BUILT: dict[str, ahocorasick.Automaton | None] = {}
+OTHER = "\0"
+_BUILT: dict = {}
 
 
 def normal_words(text: str | None) -> list[bytes]:
     return text.encode().translate(LOWER).split() if text else []
 
 
-def patterns(items: list[tuple[str | None, str | None]], window: int) -> dict[str, tuple[int, tuple[str, ...]]]:
-    """Window as delimited text: its number of words, and the ids of the items that hold it."""
+class Symbols(dict):
+    """Words to characters; OTHER for words that have none."""
+
+    def __missing__(self, word: bytes) -> str:
+        return OTHER
+
+    def of(self, word: bytes) -> str:
+        if word not in self:
+            n = len(self) + 1
+            self[word] = chr(n if n < 0xD800 else n + 0x800)
+        return self[word]
+
+
+def patterns(items: list[tuple[str | None, str | None]], window: int) -> tuple[Symbols, dict[str, tuple[int, tuple[str, ...]]]]:
+    """The symbols of the words, and window (of symbols) to its number of words and the ids of the items that hold it."""
+    symbols = Symbols()
     found: dict[str, tuple[int, set[str]]] = {}
     for item, text in items:
-        w = normal_words(text)
+        w = "".join(map(symbols.of, normal_words(text)))
         for p in range(max(1, len(w) - window + 1) if w else 0):
             part = w[p : p + window]
-            ids = found.setdefault((b" " + b" ".join(part) + b" ").decode("latin-1"), (len(part), set()))[1]
+            ids = found.setdefault(part, (len(part), set()))[1]
             if item is not None:
                 ids.add(item)
-    return {k: (n, tuple(sorted(ids))) for k, (n, ids) in found.items()}
+    return symbols, {k: (n, tuple(sorted(ids))) for k, (n, ids) in found.items()}
 
 
-def automaton(shared: Broadcast) -> ahocorasick.Automaton | None:
-    """The automaton of this worker; None without patterns."""
-    me, found = shared.value
+def automaton(shared: Broadcast) -> tuple[Symbols, ahocorasick.Automaton | None]:
+    """The symbols and the automaton of this worker; None without patterns."""
+    me, symbols, found = shared.value
     if me not in _BUILT:
         _BUILT.clear()
         built = ahocorasick.Automaton()
@@ -60,21 +81,17 @@ def automaton(shared: Broadcast) -> ahocorasick.Automaton | None:
             built.add_word(key, value)
         if len(built):
             built.make_automaton()
-        _BUILT[me] = built if len(built) else None
+        _BUILT[me] = symbols, built if len(built) else None
     return _BUILT[me]
 
 
-def scan(built: ahocorasick.Automaton | None, text: str | None) -> tuple[int, np.ndarray, list[str]]:
+def scan(symbols: Symbols, built: ahocorasick.Automaton | None, text: str | None) -> tuple[int, np.ndarray, list[str]]:
     """Number of words, the hit ranges of words (rows of first, end), and the sorted ids of items with a match."""
     w = normal_words(text)
-    if not w or built is None:
-        return len(w), np.zeros((0, 2), np.int64), []
-    joined = b" " + b" ".join(w) + b" "
-    matches = list(built.iter(joined.decode("latin-1")))
+    matches = list(built.iter("".join(map(symbols.__getitem__, w)))) if w and built is not None else []
     if not matches:
         return len(w), np.zeros((0, 2), np.int64), []
-    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
-    end = np.searchsorted(spaces, np.array([m[0] for m in matches]))
+    end = np.array([m[0] for m in matches]) + 1
     a, b = K.merged(end - np.array([m[1][0] for m in matches]), end)
     return len(w), np.stack([a, b], axis=1), sorted({x for m in matches for x in m[1][1]})
 
@@ -89,11 +106,11 @@ def original(text: str, hit: np.ndarray) -> list[dict[str, int]]:
 
 def _scanner(shared: Broadcast, text: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = automaton(shared)
+        symbols, built = automaton(shared)
         for batch in batches:
             n_words, n_hit, items, spans = [], [], [], []
             for value in batch.column(text).to_pylist():
-                n, hit, ids = scan(built, value)
+                n, hit, ids = scan(symbols, built, value)
                 n_words.append(n)
                 n_hit.append(int((hit[:, 1] - hit[:, 0]).sum()))
                 items.append(ids)
@@ -111,51 +128,70 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     A name that docs has already is lengthened.
     """
     spark = docs.sparkSession
-    asked = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t"))
-    total = asked.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    if total > MOST_BYTES:
-        return _in_passes(docs, asked, text_col, window, -(-total // MOST_BYTES))
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, patterns([tuple(r) for r in asked.collect()], window)))
-    return _marked(docs, shared, text_col)
-
-
-def _marked(docs: DataFrame, shared: Broadcast, text_col: str) -> DataFrame:
+    asked = pieces_of(items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")), window)
+    nodes = asked.agg(F.sum(F.size("w") * window)).first()[0] or 0
+    passes = max(1, -(-nodes // MOST_NODES))
+    asked = asked.select("i", F.array_join("w", " ").alias("t"))
+    share = lambda part: spark.sparkContext.broadcast((uuid.uuid4().hex, *patterns([tuple(r) for r in part.collect()], window)))
     extra = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("spans", SPAN)]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(free_name(docs, n), t) for n, t in extra)])
-    return docs.mapInArrow(_scanner(shared, docs.columns.index(text_col), schema.names), schema)
+    if passes == 1:
+        return docs.mapInArrow(_scanner(share(asked), docs.columns.index(text_col), schema.names), schema)
+    # an unlucky pass holds more than its share, but pieces are small beside it
+    numbered = written(asked.withColumn("pass", F.pmod(F.xxhash64("i", "t"), F.lit(passes))))
+    key = free_name(docs, "_key")
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()))
+    found = None
+    for p in range(passes):
+        hits = written(rows.select(key, text_col).mapInArrow(_finder(share(numbered.filter(F.col("pass") == p).select("i", "t"))), HITS))
+        found = hits if found is None else found.unionByName(hits)
+    whole = found.groupBy(F.col("key").alias(key)).agg(F.flatten(F.collect_list("a")).alias("_a"), F.flatten(F.collect_list("b")).alias("_b"), F.flatten(F.collect_list("ids")).alias("_ids"))
+    spare = [free_name(rows, n) for n in ("_a", "_b", "_ids")]
+    joined = rows.join(whole.select(key, *(F.col(n).alias(x) for n, x in zip(("_a", "_b", "_ids"), spare, strict=True))), key, "left").select(*docs.columns, *spare)
+    return joined.mapInArrow(_together(docs.columns.index(text_col), len(docs.columns), schema.names), schema)
 
 
-def _in_passes(docs: DataFrame, items: DataFrame, text_col: str, window: int, passes: int) -> DataFrame:
-    """Scans with one automaton after another, each over a hash share of the items; the marks of a row are put together."""
-    out = docs
-    for p in range(passes):
-        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p)
-        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, patterns([tuple(r) for r in part.collect()], window)))
-        found = _marked(out, shared, text_col)
-        words, _, ids, spans = found.columns[-4:]
-        if p == 0:
-            keep = found.columns[-4:]
-            out = found
-            continue
-        both = F.sort_array(F.array_union(keep[2], ids))
-        all_spans = F.sort_array(F.array_union(keep[3], spans))
-        out = found.withColumns({keep[2]: both, keep[3]: all_spans}).drop(words, found.columns[-3], ids, spans)
-    return out.mapInArrow(_recount(docs.columns.index(text_col), len(docs.columns)), out.schema)
-
-
-def _recount(text: int, at: int):
-    """Merges the spans of several passes and counts their words anew."""
+HITS = "key long, a array<long>, b array<long>, ids array<string>"
+
+
+def pieces_of(items: DataFrame, window: int) -> DataFrame:
+    """(i, w) of (i, t): the words of each item; long ones in pieces that share window - 1 words, so that no window is lost."""
+    low = F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = items.select("i", F.regexp_extract_all(low, F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), 0).alias("w")).filter("size(w) > 0")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (window - 1)), F.lit(PIECE_WORDS))
+    return words.select("i", F.explode(F.transform(starts, lambda s: F.slice("w", s, F.lit(PIECE_WORDS + window - 1)))).alias("w"))
+
+
+def _finder(shared: Broadcast):
+    """(key, text) to HITS, of the texts with a hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, built = automaton(shared)
         for batch in batches:
-            counts, merged = [], []
-            for value, found in zip(batch.column(text).to_pylist(), batch.column(at + 3).to_pylist(), strict=True):
-                a, b = K.merged(np.array([x["start"] for x in found], np.int64), np.array([x["end"] for x in found], np.int64))
-                merged.append([{"start": int(x), "end": int(y)} for x, y in zip(a, b, strict=True)])
-                counts.append(sum(len(normal_words(value[x:y])) for x, y in zip(a, b, strict=True)))
-            kind = batch.schema.field(at + 3).type
-            columns = list(batch.columns)
-            columns[at + 1], columns[at + 3] = pa.array(counts, pa.int64()), pa.array(merged, kind)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            rows = [(key, *scan(symbols, built, value)[1:]) for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = [r for r in rows if len(r[1])]
+            if rows:
+                columns = [[r[0] for r in rows], [r[1][:, 0].tolist() for r in rows], [r[1][:, 1].tolist() for r in rows], [r[2] for r in rows]]
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "a", "b", "ids"])
+
+    return run
+
+
+def _together(text: int, at: int, names: list[str]):
+    """Rows with the word ranges and items of all passes to what _scanner gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, n_hit, items, spans = [], [], [], []
+            for value, a, b, ids in zip(batch.column(text).to_pylist(), *(batch.column(at + i).to_pylist() for i in range(3)), strict=True):
+                hit = np.stack(K.merged(np.array(a or [], np.int64), np.array(b or [], np.int64)), axis=1)
+                n_words.append(len(normal_words(value)))
+                n_hit.append(int((hit[:, 1] - hit[:, 0]).sum()))
+                items.append(sorted(set(ids or [])))
+                spans.append(original(value, hit) if len(hit) else [])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            extra = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *extra], names=names)
 
     return run
