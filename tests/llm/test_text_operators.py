@@ -394,7 +394,7 @@ def test_round_trip_of_awkward_conversations(spark):
 
 def test_tree_emits_shared_turns_once(spark):
     nodes, paths = chat.prefix_tree(spark.createDataFrame(CONVERSATIONS, TURNS))
-    nodes = {(r.a, r.b): r for r in nodes.collect()}
+    nodes = {r.start: r for r in nodes.collect()}
     prefixes = {}
     for c, turn, role, text, _ in sorted(CONVERSATIONS, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0, r[2] or "", r[3] or "")):
         prefixes.setdefault(c, []).append(chat.piece(role or "", text or ""))
@@ -407,11 +407,44 @@ def test_tree_emits_shared_turns_once(spark):
         way = sorted((r for r in paths.collect() if (r.conv, r.is_null) == conv), key=lambda r: r.depth)
         seen = ""
         for step in way:
-            node = nodes[(step.a, step.b)]
+            node = nodes[step.start]
             assert "".join(text[i.s : i.e] for i in node.attends) == seen and node.position == len(seen)
             seen += node.piece
 
 
+@pytest.mark.parametrize("users", [10_000, 7])
+def test_a_prompt_that_all_share(spark, monkeypatch, users):
+    """One system prompt in every conversation, copies of whole conversations, in partitions that cut both."""
+    monkeypatch.setattr(chat, "USERS", users)
+    rng = random.Random(3)
+    rows = []
+    for c in range(120):
+        way = [("system", "be kind"), ("user", f"q{rng.randrange(4)}"), ("assistant", f"a{rng.randrange(3)}"), ("user", f"r{rng.randrange(2)}")][: rng.randint(1, 4)]
+        rows += [(c, i, role, text, None) for i, (role, text) in enumerate(way)]
+    nodes, paths = chat.prefix_tree(spark.createDataFrame(rows, TURNS).repartition(9))
+    by = {}
+    for c, _, role, text, _ in rows:
+        by.setdefault(c, []).append(chat.piece(role, text))
+    stream = sorted(nodes.collect(), key=lambda r: r.start)
+    assert len(stream) == len({tuple(p[: i + 1]) for p in by.values() for i in range(len(p))}) and [r.start for r in stream] == [sum(x.length for x in stream[:i]) for i in range(len(stream))]
+    text = "".join(r.piece for r in stream)
+    node = {r.start: r for r in stream}
+    ways = {}
+    for r in sorted(paths.collect(), key=lambda r: (r.conv, r.depth)):
+        ways.setdefault(r.conv, []).append(r.start)
+    for c, starts in ways.items():
+        assert [node[s].piece for s in starts] == by[c]
+        assert all("".join(text[i.s : i.e] for i in node[s].attends) == "".join(by[c][:d]) for d, s in enumerate(starts))
+    got = {r.conv_id: r.turns_sha256 for r in chat.read_back(nodes, paths).collect()}
+    assert got == {c: hashlib.sha256("".join(f"{r}\n{t}\n" for d, _, r, t, _ in rows if d == c).encode()).hexdigest() for c in by}
+
+
+def test_ties_go_by_text(spark):
+    texts = ["x" * 100 + "b", "x" * 100 + "a", "", "x" * 100 + "a"]
+    nodes, paths = chat.prefix_tree(spark.createDataFrame([(1, 0, "user", t, None) for t in texts], TURNS))
+    assert [r.piece for r in nodes.orderBy("start").collect()] == [chat.piece("user", t) for t in sorted(texts)]
+
+
 def test_chat_with_a_tokenizer_and_without_rows(spark):
     path = "/opt/tokenizers/byte_bpe_50k.json"
     nodes, paths = chat.prefix_tree(spark.createDataFrame(CONVERSATIONS, TURNS), tokenizer=path)
