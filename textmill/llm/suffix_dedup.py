@@ -68,7 +68,7 @@ def _pieces(window: int, k: int):
                     out.append((rolling.ranges(from_[held], to), row[held], lo[held], hi[held] + window))
                 route, of, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
                 doc, first = ids[i:j][of], a - rows[of]
-                lead = P.firsts(route, rolling.ranges(a, b), doc, first)
+                lead, _ = P.firsts(route, rolling.ranges(a, b), doc, first)
                 route[~lead] = K.mix(doc[~lead].astype(K.U64))  # known repeats are sent anywhere
                 bodies = [body[x:y].tobytes() if z else None for x, y, z in zip(a.tolist(), b.tolist(), lead.tolist(), strict=True)]
                 n = (b - a - window + 1).astype(np.int32)
@@ -113,7 +113,7 @@ def _shards(window: int, most: int):
         # equal pieces are sorted once: all but the first repeat as wholes
         at = np.flatnonzero(~known)
         lead = np.zeros(len(route), bool)
-        lead[at] = P.firsts(route[at], K.Rolling(data).ranges(offsets[:-1][at], offsets[1:][at]), doc[at], first[at])
+        lead[at] = P.firsts(route[at], K.Rolling(data).ranges(offsets[:-1][at], offsets[1:][at]), doc[at], first[at])[0]
         again = ~lead
         d, s = np.repeat(doc[again], n[again]), np.repeat(first[again], n[again])
         s = s + np.arange(len(s)) - np.repeat(np.cumsum(n[again]) - n[again], n[again])
