@@ -25,11 +25,13 @@ SEPARATOR = re.compile(S.SEPARATOR)
 REFERENCE_HEAD, REFERENCE_ENTRY = re.compile(S.REFERENCE_HEAD, re.I), re.compile(S.REFERENCE_ENTRY)
 BOILERPLATE, CAPTION, UNITS = (re.compile(p, re.I) for p in (S.BOILERPLATE, S.CAPTION, S.UNITS))
 BLANKS, GAPS = re.compile("[ \t]+"), re.compile("\n{3,}")
+MARK_BETWEEN = re.compile(" ([|/]|--?) ")
 LONG_WORD, TOC_WORD = re.compile("[A-Za-z]{3,}"), re.compile("[A-Za-z0-9][A-Za-z0-9&/\\-]*")
+MARKED = "section_marker_inserted"
 BLOCK_LINES, EDGE_LINES, LEAST_BLOCKS, LEAST_KEY, MOST_KEY, PRESENCE = 12, 2, 6, 12, 160, 0.8
 
 
-# ---- whole texts -------------------------------------------------------------------------------------------------
+# whole texts
 
 
 def polluted(text: str) -> bool:
@@ -76,7 +78,7 @@ def whitespace(text: str, cfg: RefineConfig) -> str:
     return "\n".join((x if cfg.keeps_tables and is_table(x) else BLANKS.sub(" ", x)).rstrip() for x in text.splitlines()).strip("\n")
 
 
-# ---- single lines ------------------------------------------------------------------------------------------------
+# single lines
 
 
 def is_table(line: str) -> bool:
@@ -97,17 +99,21 @@ def is_single(line: str) -> bool:
     return len(bare) == 1 and bare.isalnum()
 
 
+_ASCII = bytes(range(128))
+_OUTSIDE = {test: bytes(c for c in _ASCII if not getattr(chr(c), test)()) for test in ("isalpha", "isdigit", "isspace", "isalnum")}
+
+
+def _how_many(line: str, test: str) -> int:
+    """Characters of a line that pass a test of str."""
+    if line.isascii():
+        return len(line.encode().translate(None, _OUTSIDE[test]))
+    return sum(map(getattr(str, test), line))
+
+
 def tally(line: str) -> tuple[int, int, int, int]:
     """Letters, digits, punctuation, spaces."""
-    letters = digits = punctuation = spaces = 0
-    for c in line:
-        letters += c.isalpha()
-        digits += c.isdigit()
-        if c.isspace():
-            spaces += 1
-        elif not c.isalnum():
-            punctuation += 1
-    return letters, digits, punctuation, spaces
+    spaces = _how_many(line, "isspace")
+    return _how_many(line, "isalpha"), _how_many(line, "isdigit"), len(line) - spaces - _how_many(line, "isalnum"), spaces
 
 
 def is_axis(line: str) -> bool:
@@ -153,7 +159,7 @@ def is_guarded(key: str) -> bool:
         return False
     if len(key) < 8:
         return True
-    if "://" in key or not parts[0][0].isalpha() or any(f" {m} " in key for m in ("|", "-", "--", "/")):
+    if "://" in key or not parts[0][0].isalpha() or MARK_BETWEEN.search(key):
         return False
     letters, digits, _, _ = tally(key)
     return letters > 0 and letters / len(key) >= 0.65 and digits <= 3 and len(parts) <= 4
@@ -168,7 +174,7 @@ def ratios(line: str) -> tuple[float, float, float]:
     return sum(c.isalpha() and c.isupper() for c in line) / n, digits / n, punctuation / n
 
 
-# ---- lines in order ----------------------------------------------------------------------------------------------
+# lines in order
 
 
 def blocks(lines: list[str]) -> list[list[int]]:
@@ -236,16 +242,15 @@ def paragraphs(lines: list[str], keep_tables: bool) -> tuple[list[str], list[tup
         if not i:
             out.append(line)
             continue
-        last = out[-1]
-        head, tail = last.rstrip(), line.lstrip()
-        apart = head.startswith("## ") or tail.startswith("## ") or (keep_tables and (is_table(last) or is_table(line))) or is_title(last) or is_title(line)
-        if not apart and head.endswith("-") and tail[:1].islower():
-            joined, kind = head[:-1] + tail, "hyphen_fix"
-        elif not apart and not is_terminal(head) and starts_lower(line):
-            joined, kind = f"{head} {tail}", "paragraph_merge"
-        else:
+        last, tail = out[-1], line.lstrip()
+        hyphen = tail[:1].islower() and last.rstrip().endswith("-")
+        kind = "hyphen_fix" if hyphen else "paragraph_merge" if starts_lower(line) and not is_terminal(last) else ""
+        # cheap tests come first; of a growing paragraph only the ends are looked at
+        if not kind or last.startswith("## ") or tail.startswith("## ") or (keep_tables and (is_table(last) or is_table(line))) or is_title(line) or is_title(last):
             out.append(line)
             continue
+        head = last.rstrip()
+        joined = head[:-1] + tail if hyphen else f"{head} {tail}"
         events.append((kind, i - 1, f"{last}\n{line}", joined))
         out[-1] = joined
     return out, events
@@ -255,11 +260,11 @@ def section_markers(lines: list[str]) -> tuple[list[str], list[tuple[str, int, s
     out: list[str] = []
     events = []
     for i, line in enumerate(lines):
-        marker = f"## SECTION: {line.strip()}"
-        if is_title(line) and (not out or out[-1].strip() != marker):
-            out.append(marker)
-            events.append(("section_marker_inserted", i, line, marker))
-        out.append(line)
+        marked = f"## SECTION: {line.strip()}"
+        wanted = is_title(line) and marked != (out[-1].strip() if out else "")
+        if wanted:
+            events.append((MARKED, i, line, marked))
+        out += [marked, line] if wanted else [line]
     return out, events
 
 
@@ -271,10 +276,10 @@ def references_marked(lines: list[str]) -> tuple[list[str], list[tuple[str, int,
         at = entries[0] if len(entries) >= 5 else None
     if at is None or (at and lines[at - 1].strip() == "## REFERENCES"):
         return lines, []
-    return [*lines[:at], "## REFERENCES", *lines[at:]], [("section_marker_inserted", at, lines[at], "## REFERENCES")]
+    return [*lines[:at], "## REFERENCES", *lines[at:]], [(MARKED, at, lines[at], "## REFERENCES")]
 
 
-# ---- the whole refinement ------------------------------------------------------------------------------------------
+# the whole refinement
 
 
 @dataclass

@@ -25,7 +25,12 @@ def removed(text: Column, *patterns: str) -> Column:
 
 def stripped(text: Column) -> Column:
     """Python's strip()."""
-    return F.regexp_replace(text, lit("(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"), lit(""))
+    return F.btrim(text, lit(S.SPACES))
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def lines_of(text: Column) -> Column:
@@ -68,7 +73,7 @@ def whitespace_strict(text: Column) -> Column:
 def whitespace_safe(text: Column, keep_tables: bool = True) -> Column:
     def one(line: Column) -> Column:
         thin = F.regexp_replace(line, lit("[ \t]+"), lit(" "))
-        return F.regexp_replace(F.when(lit(keep_tables) & is_table(line), line).otherwise(thin), lit("(?U)[\\s\\x1c-\\x1f]+$"), lit(""))
+        return F.rtrim(F.when(lit(keep_tables) & is_table(line), line).otherwise(thin), lit(S.SPACES))
 
     return F.regexp_replace(F.array_join(F.transform(lines_of(text), one), "\n"), lit("^\n+|\n+$"), lit(""))
 
@@ -78,24 +83,31 @@ def bullets(line: Column, bullet: str = "•") -> Column:
 
 
 def profile(text: Column) -> Column:
-    """clean_web, pdf_like, ocr_like or unknown, by counts only."""
-    rows = F.filter(F.transform(lines_of(text), stripped), lambda x: x != "")
-    n = F.size(rows)
-    length = F.transform(rows, F.length)
-    share = lambda test: F.size(F.filter(length, test)) / n
-    short, single = share(lambda v: v < 45), share(lambda v: v == 1)
-    mean = F.aggregate(length, lit(0), lambda a, v: a + v) / n
+    """clean_web, pdf_like, ocr_like or unknown, by counts only. Lines and texts are gone through once; what decides is computed once."""
     counts = pollution(text)
     signals = reduce(lambda a, b: a + b, [(counts[c] > 0).cast("int") for c in ("glyphs", "escaped_glyphs", "privates", "cids", "replacements")]) + (counts["entities"] >= 4).cast("int")
-    odd = F.regexp_count(text, lit("[\\p{Cc}\\p{Cf}\\p{Cs}\\p{Co}\\p{Cn}&&[^\\t\\n\\x0b\\f\\r\\x1c-\\x1f\\x85]]")) / F.length(text)
-    hyphens, runs, broken = count_of(text, S.HYPHEN_BREAK), count_of(text, S.LONG_RUN), count_of(text, S.BROKEN_WORDS)
-    web = (F.size(F.filter(length, lambda v: v >= 120)) >= 3) & (short <= 0.30) & (mean >= 85) & (signals == 0) & (hyphens == 0) & (odd < 0.0005) & (runs == 0) & (broken <= 1) & (single <= 0.02)
-    pdf = (signals >= 2) | ((signals >= 1) & (hyphens >= 2))
-    ocr = ((odd >= 0.0025) & (short >= 0.45)) | ((runs >= 3) & (short >= 0.40)) | ((broken >= 6) & (short >= 0.45)) | ((single >= 0.10) & (short >= 0.55))
-    return F.when(text.isNull() | (F.length(text) < 240) | (n < 8), "unknown").when(web, "clean_web").when(pdf, "pdf_like").when(ocr, "ocr_like").otherwise("unknown")
+    marks = {
+        "signals": signals, "hyphens": count_of(text, S.HYPHEN_BREAK), "runs": count_of(text, S.LONG_RUN), "broken": count_of(text, S.BROKEN_WORDS),
+        "odd": F.regexp_count(text, lit("[\\p{Cc}\\p{Cf}\\p{Cs}\\p{Co}\\p{Cn}&&[^\\t\\n\\x0b\\f\\r\\x1c-\\x1f\\x85]]")) / F.length(text),
+    }
+
+    def decided(length: Column) -> Column:
+        n = F.size(length)
+        share = lambda test: F.size(F.filter(length, test)) / n
+        lines = {"n": n, "short": share(lambda v: v < 45), "single": share(lambda v: v == 1), "mean": F.aggregate(length, lit(0), lambda a, v: a + v) / n, "long": F.size(F.filter(length, lambda v: v >= 120))}
+        return F.when(n < 8, "unknown").otherwise(let(F.struct(*(c.alias(k) for k, c in (lines | marks).items())), named))
+
+    def named(f: Column) -> Column:
+        web = (f["long"] >= 3) & (f["short"] <= 0.30) & (f["mean"] >= 85) & (f["signals"] == 0) & (f["hyphens"] == 0) & (f["odd"] < 0.0005) & (f["runs"] == 0) & (f["broken"] <= 1) & (f["single"] <= 0.02)
+        pdf = (f["signals"] >= 2) | ((f["signals"] >= 1) & (f["hyphens"] >= 2))
+        ocr = ((f["odd"] >= 0.0025) & (f["short"] >= 0.45)) | ((f["runs"] >= 3) & (f["short"] >= 0.40)) | ((f["broken"] >= 6) & (f["short"] >= 0.45)) | ((f["single"] >= 0.10) & (f["short"] >= 0.55))
+        return F.when(web, "clean_web").when(pdf, "pdf_like").when(ocr, "ocr_like").otherwise("unknown")
+
+    lengths = F.filter(F.transform(lines_of(text), lambda x: F.length(stripped(x))), lambda v: v > 0)
+    return F.when(text.isNull() | (F.length(text) < 240), "unknown").otherwise(let(lengths, decided))
 
 
-# ---- single lines ------------------------------------------------------------------------------------------------
+# single lines
 
 
 def matches(line: Column, pattern: str, ignore_case: bool = False) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from textmill.config import RefineConfig, resolve
 from textmill.functions import kernels
+from textmill.functions.text import codepoints
 
 DECISION = (
     "struct<doc_id:string,page_idx:int,line_idx:int,raw_text:string,normalized_text:string,action:string,category:string,confidence:double,"
@@ -60,17 +61,32 @@ def refine(text: Column | str, preset: str = "safe", **overrides: object) -> Col
     return _text_kernel(lambda v: kernels.refine(v, cfg)[0])(text)
 
 
-def _decision(d: kernels.Decision, doc_id: str | None) -> dict:
+def _decision(d: kernels.Decision, doc_id: str | None, codepoints: bool) -> dict:
     caps, digits, punctuation = kernels.ratios(d.normalized_text)
-    points = [f"U+{ord(c):04X}" for c in d.raw_text]
+    points = [f"U+{ord(c):04X}" for c in d.raw_text] if codepoints else None
     return vars(d) | {"doc_id": doc_id, "caps_ratio": caps, "digit_ratio": digits, "punctuation_ratio": punctuation, "codepoints": points}
 
 
-def with_report(df: DataFrame, text_col: str = "text", id_col: str | None = None, preset: str = "safe", decisions: bool = False, detail: bool = False, out_col: str = "refined", report_col: str = "report", **overrides: object) -> DataFrame:
-    """df with the refined text and its report; decisions are only made when asked for."""
+def _free(df: DataFrame, wanted: str) -> str:
+    """wanted, lengthened until df has no column of that name in any case."""
+    have = {c.lower() for c in df.columns}
+    while wanted.lower() in have:
+        wanted += "_"
+    return wanted
+
+
+def _refined(value: str | None, cfg: RefineConfig | None, decisions: bool, detail: bool) -> tuple[str | None, kernels.Report]:
+    if cfg is None:
+        n = len(value or "")
+        return value, kernels.Report(input_len=n, output_len=n, detail_enabled=detail)
+    return kernels.refine(value, cfg, decisions, detail)
+
+
+def with_report(df: DataFrame, text_col: str = "text", id_col: str | None = None, preset: str = "safe", decisions: bool = False, detail: bool = False, out_col: str = "refined", report_col: str = "report", codepoints: bool = True, **overrides: object) -> DataFrame:
+    """df with the refined text and its report (names in use are lengthened); decisions, and the code points of their lines, are only made when asked for."""
     cfg: RefineConfig | None = None if preset == "raw" else resolve(preset, **overrides)
-    extra = T._parse_datatype_string(f"{out_col} string, {report_col} {REPORT}").fields
-    schema = T.StructType([*df.schema.fields, *extra])
+    extra = T._parse_datatype_string(f"a string, b {REPORT}").fields
+    schema = T.StructType([*df.schema.fields, T.StructField(_free(df, out_col), extra[0].dataType), T.StructField(_free(df, report_col), extra[1].dataType)])
     at, id_at = df.columns.index(text_col), None if id_col is None else df.columns.index(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,29 +97,38 @@ def with_report(df: DataFrame, text_col: str = "text", id_col: str | None = None
             texts, reports = [], []
             ids = [None] * batch.num_rows if id_at is None else [None if v is None else str(v) for v in batch.column(id_at).to_pylist()]
             for doc_id, value in zip(ids, batch.column(at).to_pylist(), strict=True):
-                if cfg is None:
-                    n = len(value or "")
-                    out, report = value, kernels.Report(input_len=n, output_len=n, detail_enabled=detail)
-                else:
-                    out, report = kernels.refine(value, cfg, decisions, detail)
+                out, report = _refined(value, cfg, decisions, detail)
                 texts.append(out)
-                reports.append(vars(report) | {"decisions": [_decision(d, doc_id) for d in report.decisions]})
+                reports.append(vars(report) | {"decisions": [_decision(d, doc_id, codepoints) for d in report.decisions]})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(reports, kind)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def line_decisions(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", preset: str = "safe", **overrides: object) -> DataFrame:
-    """A row per decision: all lines in order, then the structural events."""
-    reported = with_report(df.select(id_col, text_col), text_col, id_col, preset, decisions=True, **overrides)
-    rows = reported.select(F.posexplode("report.decisions").alias("seq", "d"))
-    return rows.select("seq", "d.*")
+    """A row per decision: all lines in order, then the structural events. Code points are made from the exploded rows, only if they are selected."""
+    only = df.select(id_col, text_col)
+    reported = with_report(only, text_col, id_col, preset, decisions=True, codepoints=False, **overrides)
+    rows = reported.select(F.posexplode(F.col(f"`{reported.columns[-1]}`.decisions")).alias("seq", "d"))
+    fields = [f.name for f in rows.schema["d"].dataType.fields if f.name != "codepoints"]
+    return rows.select("seq", *(F.col(f"d.{f}").alias(f) for f in fields), codepoints(F.col("d.raw_text")).alias("codepoints"))
 
 
-def variants(df: DataFrame, settings: dict[str, tuple[str, dict]], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def variants(df: DataFrame, settings: dict[str, tuple[str, dict]], text_col: str = "text", id_col: str = "doc_id", decisions: bool = False) -> DataFrame:
     """Long form (id, variant, text, report): each document in each variant, in one pass over the documents."""
-    parts = [with_report(df.select(id_col, text_col), text_col, id_col, preset, **overrides).select(id_col, F.lit(name).alias("variant"), F.col("refined").alias(text_col), "report") for name, (preset, overrides) in settings.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    cfgs = {name: None if preset == "raw" else resolve(preset, **overrides) for name, (preset, overrides) in settings.items()}
+    schema = T.StructType([df.schema[id_col], T.StructField("variant", T.StringType()), T.StructField(text_col, T.StringType()), T.StructField("report", T._parse_datatype_string(REPORT))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(schema["report"].dataType)
+        for batch in batches:
+            ids, values = [None if v is None else str(v) for v in batch.column(0).to_pylist()], batch.column(1).to_pylist()
+            for name, cfg in cfgs.items():
+                found = [_refined(v, cfg, decisions, False) for v in values]
+                reports = [vars(report) | {"decisions": [_decision(d, doc_id, True) for d in report.decisions]} for doc_id, (_, report) in zip(ids, found, strict=True)]
+                columns = [batch.column(0), pa.array([name] * len(values), pa.string()), pa.array([out for out, _ in found], pa.string()), pa.array(reports, kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.select(id_col, text_col).mapInArrow(run, schema)

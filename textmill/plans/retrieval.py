@@ -1,21 +1,27 @@
 """Retrieval evaluation: chunks, hash embeddings, exact top-k, recall and MRR, question generation, and comparisons.
 
-Vectors stay in sparse long form (chunk, dim, weight): a chunk touches few dimensions, so a query meets only the
-chunks that share one, by an equi-join on the dimension.
+Vectors are kept in sparse long form (chunk, dim, weight). The exact search gathers the few dimensions of a chunk, and
+sends blocks of queries of a bounded size to all chunks, whose task scores them as matrices and keeps the best.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.functions import text as X
 
 DIMENSIONS = 768
 TOKEN = "[A-Za-z0-9][A-Za-z0-9/_%-]*"
 STOPLIST = tuple("and for from into that the this with".split())
+#: The longer list, for question sets built from whole corpora.
+FULL_STOPLIST = tuple(sorted((*STOPLIST, *"a about also an are as at be been by can has have he in is it its of on or such their there these they to was we were which will".split())))
 BOILERPLATE_TERMS = "appendix|copyright|references|all rights reserved|table of contents"
 #: What stands before and after the focus, by the question's number.
 TEMPLATES = (("What does the document state about ", "?"), ("According to the document, what is said about ", "?"), ("What key point is made regarding ", "?"))
@@ -70,12 +76,82 @@ def embedding(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     return sums.withColumn("norm", norm).select(*id_cols, "dim", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("weight"))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, query_col: str = "qid", ids: tuple[str, ...] = ("doc_id", "chunk_index"), k: int = 10, per: tuple[str, ...] = ()) -> DataFrame:
-    """(query, per, ids, score, rank): the k chunks of largest cosine, in each group of the columns `per`; ties go to the smaller ids. Scores are rounded to 9 digits first."""
-    meet = queries.select(query_col, "dim", F.col("weight").alias("qw")).join(vectors, "dim")
-    scores = meet.groupBy(query_col, *per, *ids).agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score"))
+def _matrix(lists: list, dimensions: int) -> np.ndarray:
+    """Rows of (dim, weight) pairs as a matrix."""
+    out = np.zeros((len(lists), dimensions))
+    row = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
+    if len(row):
+        out[row, [x["dim"] for v in lists for x in v]] = [x["weight"] for v in lists for x in v]
+    return out
+
+
+def _best(shared: Broadcast, k: int, per: int, dimensions: int, names: list[str]):
+    """Sorted (per.., ids.., v) to (query number, score, per.., ids..): the k best of each query and group; of equal scores the earlier rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = _matrix(shared.value, dimensions).T
+        some = (asked != 0).astype(np.float32)
+        held: pa.RecordBatch | None = None  # rows that are among the best of a query
+        score = np.full((asked.shape[1], 0), -np.inf)
+        row = np.zeros((asked.shape[1], 0), np.int64)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            query, place = np.nonzero(np.isfinite(score))
+            if len(query):
+                rows = held.take(pa.array(row[query, place]))
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(score[query, place]), *rows.columns], names=names)
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(per)), strict=True)) if per else [()] * batch.num_rows
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if held is not None and per and tuple(held.column(i)[0].as_py() for i in range(per)) != keys[lo]:
+                    yield from told()
+                    held, score, row = None, score[:, :0], row[:, :0]
+                for at in range(lo, hi, 512):
+                    part = batch.slice(at, min(512, hi - at))
+                    body = _matrix(part.column(part.num_columns - 1).to_pylist(), dimensions)
+                    new = np.where((body != 0).astype(np.float32) @ some > 0, np.round(body @ asked, 9), -np.inf).T
+                    rows = part.select(range(part.num_columns - 1))
+                    before = 0 if held is None else held.num_rows
+                    both = np.concatenate([score, new], axis=1)
+                    order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                    score = np.take_along_axis(both, order, axis=1)
+                    places = np.concatenate([row, np.tile(np.arange(before, before + len(body)), (len(row), 1))], axis=1)
+                    row = np.take_along_axis(places, order, axis=1)
+                    used, row = np.unique(row, return_inverse=True)  # rows that no query wants are let go
+                    row = row.reshape(score.shape)
+                    joined = pa.Table.from_batches([rows] if held is None else [held, rows]).combine_chunks().to_batches()[0]
+                    held = joined.take(pa.array(used))
+        if held is not None:
+            yield from told()
+
+    return run
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, query_col: str = "qid", ids: tuple[str, ...] = ("doc_id", "chunk_index"), k: int = 10, per: tuple[str, ...] = (), dimensions: int = DIMENSIONS, block: int = 4096) -> DataFrame:
+    """(query, per, ids, score, rank): the k chunks of largest cosine, in each group of the columns `per`; ties go to the smaller ids. Scores are rounded to 9 digits first.
+
+    Only chunks that share a dimension with the query are met. Queries are sent in blocks of `block`.
+    """
+    spark = vectors.sparkSession
+    pair = F.struct("dim", "weight")
+    asked = queries.groupBy(query_col).agg(F.sort_array(F.collect_list(pair)).alias("v"))
+    total = asked.count()
+    blocks = max(1, -(-total // block))
+    indexed = vectors.groupBy(*per, *ids).agg(F.sort_array(F.collect_list(pair)).alias("v")).sortWithinPartitions(*per, *ids)
+    kept = indexed.drop("v").schema.fields
+    found = None
+    for b in range(blocks):
+        rows = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(query_col), F.lit(blocks)) == b)).collect()  # about `block` rows
+        shared = spark.sparkContext.broadcast([r["v"] for r in rows])
+        schema = T.StructType([T.StructField("_number", T.LongType()), T.StructField("score", T.DoubleType()), *kept])
+        one = indexed.mapInArrow(_best(shared, k, len(per), dimensions, schema.names), schema)
+        names = spark.createDataFrame(list(enumerate(r[query_col] for r in rows)), T.StructType([schema[0], queries.schema[query_col]]))
+        one = one.join(F.broadcast(names), "_number").select(query_col, *per, *ids, "score")
+        found = one if found is None else found.unionByName(one)
     order = Window.partitionBy(query_col, *per).orderBy(F.col("score").desc(), *ids)
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def unique_docs(ranked: DataFrame, query_col: str = "qid", doc_col: str = "doc_id") -> DataFrame:
@@ -93,13 +169,13 @@ def metrics(questions: DataFrame, docs_ranked: DataFrame, ks: tuple[int, ...] =
 
 
 def evaluated(asked: DataFrame, texts: DataFrame, variants: Iterable[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(qid, variant, mrr, recall_k): every question of questions() asked of the chunks of each variant in (id, variant, text); expected is its document."""
+    """(qid, variant, id, mrr, recall_k): every question of questions() asked of the chunks of each variant in (id, variant, text); expected is its document, whose id stays."""
     pieces = chunks(texts.select(F.struct("variant", F.col(id_col).alias("doc")).alias("in"), text_col), "in", text_col)
     indexed = embedding(pieces, ["in", "chunk_index"], "chunk").select("in.variant", "in.doc", "chunk_index", "dim", "weight")
     ranked = top_k(embedding(asked, ["qid"], "question"), indexed, ids=("doc", "chunk_index"), per=("variant",))
     ranked = unique_docs(ranked.withColumn("q", F.struct("qid", "variant")), "q", "doc")
     each = asked.select("qid", F.explode(F.array(*map(F.lit, variants))).alias("variant"), F.col(id_col).alias("expected"))
-    return metrics(each.withColumn("q", F.struct("qid", "variant")), ranked, query_col="q", doc_col="doc").drop("q", "expected")
+    return metrics(each.withColumn("q", F.struct("qid", "variant")), ranked, query_col="q", doc_col="doc").drop("q").withColumnRenamed("expected", id_col)
 
 
 def summary(rows: DataFrame, variant_col: str = "variant", baseline: str = "raw") -> DataFrame:
@@ -115,6 +191,46 @@ def against_baseline(rows: DataFrame, variant_col: str = "variant", query_col: s
     return rows.filter(F.col(variant_col) != baseline).join(base, query_col).withColumn("delta_mrr_vs_raw", F.col("mrr") - F.col("raw_mrr"))
 
 
+def doc_variants(refined: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, variant, ..): what refinement did to each document, of variants() with decisions."""
+    r = F.col("report")
+    return refined.select(
+        id_col, "variant", r["input_len"].alias("input_len"), r["output_len"].alias("output_len"), r["normalized_extracted"].alias("normalized_extracted"),
+        r["removed_header_footer_lines"].alias("removed_header_footer"), r["removed_layout_noise_lines"].alias("removed_layout_noise"),
+        *(F.size(F.filter(r["decisions"], lambda d, c=c: d["category"] == c)).alias(f"n_{c}") for c in ("hyphen_fix", "paragraph_merge")),
+    )
+
+
+SIGNALS = ("normalized_extracted", "removed_header_footer", "removed_layout_noise", "n_hyphen_fix", "n_paragraph_merge", "length_ratio")
+
+
+def with_signals(rows: DataFrame, documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Evaluation rows (id, variant, ..) with the six signals of their document in that variant; what isn't known is false, 0, and a ratio of 1."""
+    ratio = F.when(F.col("input_len") > 0, F.col("output_len") / F.col("input_len"))
+    known = documents.select(id_col, "variant", *SIGNALS[:-1], ratio.alias("length_ratio"))
+    unknown = {c: F.lit(0) for c in SIGNALS} | {"normalized_extracted": F.lit(False), "length_ratio": F.lit(1.0)}
+    return rows.join(known, [id_col, "variant"], "left").select(*rows.columns, *(F.coalesce(c, unknown[c]).alias(c) for c in SIGNALS))
+
+
+def live_summary(rows: DataFrame, documents: DataFrame, run: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables of a run: run_info, variants, wins and losses against the baseline (with signals, by delta), doc_variants. rows: of evaluated() with the document's id."""
+    compared = with_signals(against_baseline(rows), documents)
+    spark = rows.sparkSession
+    return {
+        "run_info": spark.createDataFrame(sorted(run.items()), "name string, value string"), "variants": summary(rows),
+        "wins": compared.filter("delta_mrr_vs_raw > 0").orderBy(F.col("delta_mrr_vs_raw").desc(), "qid", "variant"),
+        "losses": compared.filter("delta_mrr_vs_raw < 0").orderBy("delta_mrr_vs_raw", "qid", "variant"), "doc_variants": documents,
+    }
+
+
+def title_metrics(titles: DataFrame, vectors: DataFrame, id_col: str = "doc_id", k: int = 10) -> DataFrame:
+    """One row: mean MRR and recall of asking for each document (id, title) by its title, and the number of titles asked."""
+    asked = titles.filter(X.stripped(F.col("title")) != "").select(F.col(id_col).alias("qid"), F.col(id_col).alias("expected"), "title")
+    ranked = unique_docs(top_k(embedding(asked, ["qid"], "title"), vectors, k=k))
+    rows = metrics(asked.select("qid", "expected"), ranked)
+    return rows.agg(*(F.avg(c).alias(c) for c in ("mrr", "recall_1", "recall_5", "recall_10")), F.count(F.lit(1)).alias("n_queries"))
+
+
 def sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, sentence): split after . ! ? at white space; line breaks count as spaces."""
     flat = X.stripped(F.regexp_replace(F.regexp_replace(text_col, "\n", " "), "[ \t]+", " "))
@@ -146,9 +262,9 @@ def informativeness(sentence: Column) -> Column:
     return F.when(n.between(12, 30) & ~is_boilerplate_sentence(sentence), F.round(score, 6)).otherwise(-1.0)
 
 
-def focus_phrase(sentence: Column, most: int = 8) -> Column:
+def focus_phrase(sentence: Column, most: int = 8, stop: tuple[str, ...] = STOPLIST) -> Column:
     """The `most` tokens of the highest score, ties by lower-cased token; stop words only where there is nothing else."""
-    tokens = F.filter(tokens_of(sentence), lambda t: ~F.lower(t).isin(*STOPLIST))
+    tokens = F.filter(tokens_of(sentence), lambda t: ~F.lower(t).isin(*stop))
 
     def scored(t: Column) -> Column:
         s = F.when(F.regexp_like(t, F.lit("^[A-Z]")), 1.0).otherwise(0.0) + F.when(is_acronym(t), 1.2).otherwise(0.0)
@@ -169,8 +285,8 @@ def answer(text: Column, sentence: Column) -> Column:
     return F.array_join(F.when(F.size(tail) >= 20, F.slice(tail, 1, 28)).when(F.size(own) >= 20, F.slice(own, 1, 40)).otherwise(short), " ")
 
 
-def questions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(qid, id, question, answer): per document the ten most informative sentences, filled up to eight in order.
+def questions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop: tuple[str, ...] = STOPLIST) -> DataFrame:
+    """(qid, id, question, answer): per document the ten most informative sentences, filled up to eight in order. stop: words that no focus has.
 
     Questions are numbered through all documents in order. The running number has two levels, counts by document and
     their sum, so sentences never meet in one task.
@@ -190,7 +306,7 @@ def questions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     inside = Window.partitionBy("bucket").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.join(sums, "bucket").select(id_col, (F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("from"))
     number = (F.col("from") + F.col("n")).cast("long")
-    focus = focus_phrase(F.col("sentence"))
+    focus = focus_phrase(F.col("sentence"), stop=stop)
     asked = F.element_at(F.array(*(F.concat(F.lit(a), focus, F.lit(b)) for a, b in TEMPLATES)), (number % 3 + 1).cast("int"))
     texts = df.select(id_col, F.col(text_col).alias("_text"))
     return rows.join(starts, id_col).join(texts, id_col).select(F.format_string("q%04d", number).alias("qid"), id_col, asked.alias("question"), answer(F.col("_text"), F.col("sentence")).alias("answer"))

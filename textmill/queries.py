@@ -43,11 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return io.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{DIRT} AS text")
+    return io.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).selectExpr("doc_id", f"{DIRT} AS text")
 
 
 def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def _digest(df: DataFrame, **columns) -> DataFrame:
 
 
 
-# ---- whole texts -------------------------------------------------------------------------------------------------
+# whole texts
 
 
 def text_pollution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dirty(spark, sf_dir).select("doc_id", R.unicode_normalize("text").alias("text"))
 
 
-# ---- lines -------------------------------------------------------------------------------------------------------
+# lines
 
 
 def line_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ def line_dotted_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(L.rejoined(rows), out=F.col("text"))
 
 
-# ---- refinement --------------------------------------------------------------------------------------------------
+# refinement
 
 
 def _refined(preset: str, **overrides):
@@ -201,7 +201,7 @@ def refine_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.variants(dirty(spark, sf_dir), {"raw": ("raw", {}), "safe": ("safe", {}), "light": ("light", {})})
+    rows = R.variants(dirty(spark, sf_dir), SETTINGS)
     return rows.groupBy("variant").agg(
         F.count(F.lit(1)).alias("docs"), F.sum("report.input_len").alias("input_len"), F.sum("report.output_len").alias("output_len"),
         F.sum("report.removed_toc_lines").alias("toc_lines"), F.count_if("report.normalized_extracted").alias("extracted"),
@@ -221,7 +221,7 @@ def dropped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(dirty(spark, sf_dir).select("doc_id", io.drop_lines(F.col("text"), patterns).alias("text")), out=F.col("text"))
 
 
-# ---- retrieval ---------------------------------------------------------------------------------------------------
+# retrieval
 
 
 def chunks_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,11 +258,26 @@ def retrieval_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.top_k(_asked(spark, sf_dir), _vectors(spark, sf_dir)).select("qid", "doc_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
 
 
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of each document stands for its title."""
+    return documents(spark, sf_dir).select("doc_id", F.substring(F.split("text", "\n")[0], 1, 120).alias("title"))
+
+
+def _title_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _titles(spark, sf_dir).filter(X.stripped(F.col("title")) != "").select(F.col("doc_id").alias("qid"), "title")
+    return P.top_k(P.embedding(asked, ["qid"], "title"), _vectors(spark, sf_dir))
+
+
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected is the document of the best chunk that isn't the first one."""
-    ranked = P.unique_docs(P.top_k(_asked(spark, sf_dir), _vectors(spark, sf_dir)))
-    expected = ranked.groupBy("qid").agg(F.max_by("doc_id", F.struct("rank", "doc_id")).alias("expected"))
-    return P.metrics(expected, ranked).select("qid", "expected", F.round("mrr", 9).alias("mrr"), "recall_1", "recall_5", "recall_10")
+    """Every document is asked for by its title, among all chunks."""
+    expected = _titles(spark, sf_dir).filter(X.stripped(F.col("title")) != "").select(F.col("doc_id").alias("qid"), F.col("doc_id").alias("expected"))
+    rows = P.metrics(expected, P.unique_docs(_title_ranks(spark, sf_dir)))
+    return rows.select("qid", "expected", F.round("mrr", 9).alias("mrr"), "recall_1", "recall_5", "recall_10")
+
+
+def retrieval_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.title_metrics(_titles(spark, sf_dir), _vectors(spark, sf_dir))
+    return rows.select(*(F.round(c, 9).alias(c) for c in ("mrr", "recall_1", "recall_5", "recall_10")), "n_queries")
 
 
 def retrieval_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,16 +289,18 @@ def retrieval_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.questions(documents(spark, sf_dir))
 
 
-def retrieval_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _variant_rows(spark, sf_dir)
-    return P.summary(rows).select("variant", *(F.round(c, 9).alias(c) for c in ("mrr", "recall_1", "recall_5", "recall_10", "delta_mrr_vs_raw")), "count")
+SETTINGS = {"raw": ("raw", {}), "safe": ("safe", {}), "light": ("light", {})}
 
 
 def _variant_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions of the raw texts, asked of the chunks of each variant of them."""
     raw = dirty(spark, sf_dir)
-    settings = {"raw": ("raw", {}), "safe": ("safe", {}), "light": ("light", {})}
-    return P.evaluated(P.questions(raw), R.variants(raw, settings), settings)
+    return P.evaluated(P.questions(raw), R.variants(raw, SETTINGS), SETTINGS)
+
+
+def retrieval_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.summary(_variant_rows(spark, sf_dir))
+    return rows.select("variant", *(F.round(c, 9).alias(c) for c in ("mrr", "recall_1", "recall_5", "recall_10", "delta_mrr_vs_raw")), "count")
 
 
 def retrieval_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,8 +309,17 @@ def retrieval_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.against_baseline(_variant_rows(spark, sf_dir)).filter("variant = 'light' AND delta_mrr_vs_raw > 0")
-    return rows.select("qid", F.round("delta_mrr_vs_raw", 9).alias("delta"))
+    """Where light does better than raw, with the signals of the document."""
+    rows = P.with_signals(P.against_baseline(_variant_rows(spark, sf_dir)).filter("variant = 'light' AND delta_mrr_vs_raw > 0"), _doc_variants(spark, sf_dir))
+    return rows.select("qid", "doc_id", F.round("delta_mrr_vs_raw", 9).alias("delta"), *P.SIGNALS[:-1], F.round("length_ratio", 9).alias("length_ratio"))
+
+
+def _doc_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.doc_variants(R.variants(dirty(spark, sf_dir), SETTINGS, decisions=True))
+
+
+def variant_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_variants(spark, sf_dir)
 
 
 def lines_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,7 +343,7 @@ def text_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("docs"), F.sum("a").alias("before"), F.sum("b").alias("after"), F.round(F.try_divide(F.sum("b"), F.sum("a")), 9).alias("ratio"), most.alias("most_compressed"))
 
 
-# ---- reports -----------------------------------------------------------------------------------------------------
+# reports
 
 
 def chunks_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,10 +371,10 @@ def refine_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_chunk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over chunks, documents not made unique; the expected document is that of the fourth chunk."""
-    ranked = P.top_k(_asked(spark, sf_dir), _vectors(spark, sf_dir))
-    expected = ranked.filter("rank = 4").select("qid", F.col("doc_id").alias("expected"))
-    return P.metrics(expected, ranked).select("qid", F.round("mrr", 9).alias("mrr"), "recall_1", "recall_5", "recall_10")
+    """The same over chunks, documents not made unique."""
+    expected = _titles(spark, sf_dir).filter(X.stripped(F.col("title")) != "").select(F.col("doc_id").alias("qid"), F.col("doc_id").alias("expected"))
+    rows = P.metrics(expected, _title_ranks(spark, sf_dir))
+    return rows.select("qid", F.round("mrr", 9).alias("mrr"), "recall_1", "recall_5", "recall_10")
 
 
 def retrieval_top_k_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,9 +382,9 @@ def retrieval_top_k_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The answer of a document is its text from character 1000 on, 200 characters."""
-    answers = documents(spark, sf_dir).select(F.col("doc_id").alias("qid"), "doc_id", F.substring("text", 1000, 200).alias("answer"))
-    return reports.best_chunk(P.chunks(documents(spark, sf_dir)), answers).select("qid", "chunk_index", "holds")
+    """The chunk that answers each question made from the documents."""
+    docs = documents(spark, sf_dir)
+    return reports.best_chunk(P.chunks(docs), P.questions(docs).select("qid", "doc_id", "answer")).select("qid", "doc_id", "chunk_index", "holds")
 
 
 def retrieval_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ TYPE_FROM, TYPE_TO = "".join(TYPOGRAPHIC), "".join(TYPOGRAPHIC.values())
 TYPE_TABLE = str.maketrans(TYPOGRAPHIC)
 BULLET_TABLE = str.maketrans(dict.fromkeys(PRIVATE_BULLETS, "•"))
 
+#: Python's white space.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 PRIVATE = "[-]"
 CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
 ZERO_WIDTH = "[​-‍⁠]"

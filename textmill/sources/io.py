@@ -31,6 +31,12 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return out
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it is read, in as many partitions as there are cores, if its files have fewer splits: what is done a row at a time then runs on all."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if not table.isStreaming and table.rdd.getNumPartitions() < cores else table
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QA_SCHEMA).json(path)
 
@@ -130,12 +136,17 @@ def _cell(at: str, value: object) -> str:
     return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
 
 
+def _row(number: int, values: tuple) -> str:
+    cells = [_cell(f"{column_name(i)}{number}", v) for i, v in enumerate(values, 1)]
+    return f'<row r="{number}">{"".join(cells)}</row>'
+
+
 def _sheet(rows: Iterator[tuple], columns: list[str]) -> Iterator[str]:
-    yield '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
-    for n, row in enumerate([tuple(columns)], 1):
-        yield f'<row r="{n}">' + "".join(_cell(f"{column_name(i)}{n}", v) for i, v in enumerate(row, 1)) + "</row>"
-    for n, row in enumerate(rows, 2):
-        yield f'<row r="{n}">' + "".join(_cell(f"{column_name(i)}{n}", v) for i, v in enumerate(row, 1)) + "</row>"
+    yield '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + _row(1, tuple(columns))
+    number = 1
+    for values in rows:
+        number += 1
+        yield _row(number, values)
     yield "</sheetData></worksheet>"
 
 
