@@ -128,6 +128,34 @@ def test_columns_match_the_kernel(spark):
         assert row.report.removed_header_footer_lines == report.removed_header_footer_lines
 
 
+def test_names_in_use_are_lengthened(spark):
+    table = spark.createDataFrame([(1, "a  b", "x", 3)], "doc_id long, text string, Refined string, report int")
+    out = R.with_report(table, "text", "doc_id")
+    assert out.columns[2:] == ["Refined", "report", "refined_", "report_"] and out.first()["refined_"] == "a b"
+    odd = spark.createDataFrame([("d", "x\n....... 3", 1)], "doc_id string, text string, report int")
+    assert R.line_decisions(odd).count() == 2
+
+
+def test_command_line():
+    import subprocess
+    import sys
+
+    run_ = lambda *a: subprocess.run([sys.executable, "-m", "textmill", *a], input="a  b\n........ 23\nc", capture_output=True, text=True, check=True).stdout
+    assert run_() == "a b\nc" and run_("raw") == "a  b\n........ 23\nc" and run_("safe", "profile=markdown_safe") == "a b\n........ 23\nc"
+
+
+def test_exported_variants(spark):
+    from textmill.config import VARIANTS
+    from textmill.plans import reports
+
+    rows = R.variants(spark.createDataFrame([("d", "This infor-\nmation.\n....... 3")], "doc_id string, text string"), VARIANTS, decisions=True)
+    out = {r.variant: r for r in reports.variant_rows(rows).collect()}
+    assert set(out) == set(VARIANTS) and out["raw"].decisions is None and out["structure"].text == "This information."
+    assert list(out["plain"].decisions[0].asDict()) == ["action", "category", "page_idx", "line_idx", "raw_text", "normalized_text"]
+    gone = [r for r in reports.removed_rows(rows).collect() if r.variant == "plain"]
+    assert [(r.removal_type, r.repr_text, r.codepoints[0]) for r in gone] == [("toc", "'....... 3'", "U+002E")]
+
+
 def test_decisions_table(spark):
     table = spark.createDataFrame([("a", "x😀\n....... 3")], "doc_id string, text string")
     rows = R.line_decisions(table).collect()

@@ -45,6 +45,17 @@ PRESETS = {
 }
 
 
+#: The six texts of a document that an evaluation compares: preset and settings.
+VARIANTS: dict[str, tuple[str, dict[str, str]]] = {
+    "raw": ("raw", {}),
+    "plain": ("safe", {}),
+    "light": ("light", {}),
+    "aggressive": ("safe", {"structure_mode": "aggressive"}),
+    "drops": ("safe", {"drop_repeated_lines": "auto", "drop_references_section": "auto"}),
+    "structure": ("safe", {"structure_mode": "light", "drop_layout_noise": "off"}),
+}
+
+
 def resolve(preset: str = "safe", **overrides: object) -> RefineConfig:
     """The preset's settings with every override that isn't None; "raw" (which bypasses refinement) resolves like safe.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from textmill import semantics as S
+from textmill.operators.refine import COUNTERS
 from textmill.plans import retrieval as P
 from textmill.queries import DIRT
 
@@ -158,11 +161,12 @@ TOPK = (
     "t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_index) AS rank FROM s QUALIFY rank <= 10)"
 )
 UNIQUE = TOPK + ", b AS (SELECT qid, doc_id, min(rank) AS best FROM t GROUP BY ALL), r AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY best) AS rank FROM b)"
-SENTENCES = (
-    f"WITH {C}, z AS (SELECT doc_id, string_split(regexp_replace({strip('regexp_replace(replace(text, chr(10), chr(32)), chr(91) || chr(32) || chr(9) || chr(93) || chr(43), chr(32), chr(103))')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM d), "
-    "s AS (SELECT doc_id, (i - 1)::INT AS pos, parts[i] AS sentence FROM z, unnest(range(1, len(parts) + 1)) AS u(i) WHERE regexp_matches(parts[i], '\\S')), "
+SENTENCE_CTES = (
+    f"z0 AS (SELECT doc_id, string_split(regexp_replace({strip('regexp_replace(replace(text, chr(10), chr(32)), chr(91) || chr(32) || chr(9) || chr(93) || chr(43), chr(32), chr(103))')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM d), "
+    "s AS (SELECT doc_id, (i - 1)::INT AS pos, parts[i] AS sentence FROM z0, unnest(range(1, len(parts) + 1)) AS u(i) WHERE regexp_matches(parts[i], '\\S')), "
     f"k AS (SELECT *, regexp_extract_all(sentence, '{P.TOKEN}') AS t FROM s)"
 )
+SENTENCES = f"WITH {C}, {SENTENCE_CTES}"
 _ACRONYM = "regexp_matches(x, '^[^a-z]*[A-Z][^a-z]*$') AND length(x) > 1"
 INFORMATIVE = (
     f"CASE WHEN len(t) BETWEEN 12 AND 30 AND NOT regexp_matches(lower(sentence), '{P.BOILERPLATE_TERMS}') THEN round(0.4::DOUBLE * len(list_filter(t, lambda x: regexp_matches(x, '^[A-Z]'))) + 0.9::DOUBLE * len(list_filter(t, lambda x: {_ACRONYM})) "
@@ -174,11 +178,6 @@ _SCORED = (
 _STOP = "(" + ", ".join(f"'{w}'" for w in P.STOPLIST) + ")"
 _BEST = f"list_transform(list_sort(list_transform(list_filter(t, lambda x: lower(x) NOT IN {_STOP}), lambda x: {_SCORED}))[1:8], lambda x: x.t)"
 FOCUS = f"array_to_string(CASE WHEN len({_BEST}) > 0 THEN {_BEST} ELSE t[1:8] END, ' ')"
-VARIANTS = (
-    "WITH e AS (SELECT doc_id AS qid, v AS variant, doc_id % (CASE v WHEN 'raw' THEN 7 WHEN 'safe' THEN 5 ELSE 11 END) + 1 AS rank FROM documents, unnest(['raw', 'safe', 'light']) AS u(v)), "
-    "x AS (SELECT qid, variant, 1.0::DOUBLE / rank AS mrr, (rank <= 1)::INT AS recall_1, (rank <= 5)::INT AS recall_5, (rank <= 10)::INT AS recall_10 FROM e), "
-    "c AS (SELECT x.*, b.mrr AS raw_mrr, b.recall_1 AS raw_recall_1, x.mrr - b.mrr AS delta FROM x JOIN x b ON x.qid = b.qid AND b.variant = 'raw' AND x.variant <> 'raw')"
-)
 SAFE_LINE = f"regexp_replace(CASE WHEN {TABLE} THEN line ELSE regexp_replace(line, '[ \\t]+', ' ', 'g') END, '\\s+$', '')"
 
 
@@ -197,6 +196,121 @@ PROFILE = (
     "WHEN signals >= 2 OR (signals >= 1 AND hyphens >= 2) THEN 'pdf_like' "
     "WHEN (odd >= 0.0025 AND short >= 0.45) OR (runs >= 3 AND short >= 0.40) OR (broken >= 6 AND short >= 0.45) OR (single >= 0.10 AND short >= 0.55) THEN 'ocr_like' ELSE 'unknown' END AS profile FROM f LEFT JOIN m USING (doc_id))"
 )
+def gated(test: str) -> str:
+    return {"on": "true", "off": "false", "auto": "scanned"}[test]
+
+
+def unescaped(x: str) -> str:
+    for name, c in (("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&quot;", "chr(34)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{name}', {c})"
+    return x
+
+
+TYPOGRAPHIC = "translate({0}, '" + S.TYPE_FROM + "', '" + S.TYPE_TO.replace("'", "''") + "')"
+EXTRACTED = gone(TYPOGRAPHIC.format(f"translate({gone(unescaped('text'), S.GLYPH, S.CID)}, '{S.PRIVATE_BULLETS}', '{'•' * len(S.PRIVATE_BULLETS)}')"), PRIVATE, ZERO_WIDTH, INVISIBLE, CONTROL, REPLACED)
+POLLUTED = "(" + " OR ".join(f"{POLLUTION[c]} > 0" for c in list(POLLUTION)[:5]) + f" OR {POLLUTION['entities']} >= 3)"
+
+
+def title_of(x: str) -> str:
+    return re.sub(r"\bline\b", x, TITLE)
+
+
+def table_of(x: str) -> str:
+    return re.sub(r"\bline\b", x, TABLE)
+
+
+def folded(source: str, out: str, tables: bool) -> str:
+    """Wrapped lines of source (doc_id, i from 1 without gaps, line) joined: out (doc_id, i, line, ev), a row per paragraph; ev counts (hyphens, merges)."""
+    tail, head = strip("n.line"), strip("r.cur")
+    either = f"{table_of('r.cur')} OR {table_of('n.line')} OR " if tables else ""
+    apart = f"(r.cur LIKE '## %' OR {tail} LIKE '## %' OR {either}{title_of('r.cur')} OR {title_of('n.line')})"
+    lefts, rights = "regexp_replace(n.line, '^\\s+', '')", "regexp_replace(r.cur, '\\s+$', '')"
+    hyphen = f"(right({head}, 1) = '-' AND regexp_matches({lefts}, '^\\p{{Ll}}'))"
+    merge = f"(NOT {terminal('r.cur')} AND regexp_matches(n.line, '^[^\\p{{L}}\\p{{Nd}}]*\\p{{Ll}}'))"
+    return (
+        f"{out}r AS (SELECT doc_id, i, line AS cur, 1 AS part, 0 AS hy, 0 AS me FROM {source} WHERE i = 1 UNION ALL "
+        f"SELECT doc_id, i, CASE k WHEN 1 THEN left(rs, length(rs) - 1) || ls WHEN 2 THEN rs || ' ' || ls ELSE line END, part + (k = 0)::INT, hy + (k = 1)::INT, me + (k = 2)::INT FROM "
+        f"(SELECT n.doc_id, n.i, n.line, r.part, r.hy, r.me, {lefts} AS ls, {rights} AS rs, CASE WHEN {apart} THEN 0 WHEN {hyphen} THEN 1 WHEN {merge} THEN 2 ELSE 0 END AS k FROM {out}r r JOIN {source} n ON n.doc_id = r.doc_id AND n.i = r.i + 1)), "
+        f"{out} AS (SELECT doc_id, part AS i, arg_max(cur, i) AS line, max(hy) AS hy, max(me) AS me FROM {out}r GROUP BY doc_id, part)"
+    )
+
+
+def refined(out: str, profile: str = "safe", extracted: str = "auto", noise: str = "auto", repeated: str = "off", references: str = "off", structure: str = "off", collapse: bool = True, pre: str = "") -> str:
+    """CTEs after PROFILE's (d, l, m, f, g): {out} (doc_id, text, input_len, counters.., hy, me) of a preset. pre: names them apart."""
+    q = pre + out
+    ext = {"auto": f"(profile IN ('pdf_like', 'ocr_like') OR {POLLUTED})", "on": "true", "off": "false"}[extracted]
+    keeps = profile != "strict"
+    drops = DOTTED if profile != "markdown_safe" else "false"
+    bullet = "-" if profile == "markdown_safe" else "•"
+    line = f"regexp_replace(CASE WHEN {TABLE} THEN line ELSE regexp_replace(line, '[ \\t]+', ' ', 'g') END, '\\s+$', '')"
+    ctes = [
+        f"{q}x AS (SELECT d.doc_id, text, coalesce(profile, 'unknown') AS profile, text <> '' AND {ext} AS ext FROM d LEFT JOIN g USING (doc_id))",
+        f"{q}b AS (SELECT doc_id, ext, profile, {gone(f'CASE WHEN ext THEN {EXTRACTED} ELSE {TYPOGRAPHIC.format(chr(116) + chr(101) + chr(120) + chr(116))} END', PRIVATE, CONTROL, ZERO_WIDTH)} AS text FROM {q}x)",
+        _lines(f"{q}b", f"{q}l"),
+        f"{q}t AS (SELECT {q}l.*, ext, profile, ext AND profile IN ('pdf_like', 'ocr_like') AS scanned FROM {q}l JOIN {q}x USING (doc_id))",
+        f"{q}p AS (SELECT * FROM {q}t WHERE NOT (ext AND {BOILERPLATE}))",
+        RUNS.replace("{l}", f"{q}p"),
+        f"{q}q AS (SELECT doc_id, line_idx, line, ext, profile, scanned FROM {q}pn WHERE NOT ({gated(noise)} AND noise))",
+        f"{q}u AS (SELECT * FROM {q}q WHERE NOT (ext AND profile <> 'clean_web' AND {navigation('line')}))",
+        HEADERS.replace("{l}", f"{q}u"),
+        f"{q}v AS (SELECT * FROM {q}u WHERE NOT ({gated(repeated)} AND (doc_id, line_idx) IN (SELECT (doc_id, line_idx) FROM {q}ux)))",
+        f"{q}w AS (SELECT *, max(CASE WHEN {gated(references)} AND {HEAD} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_idx) AS refs FROM {q}v)",
+        f"{q}y AS (SELECT doc_id, line_idx, regexp_replace(line, '{BULLET}', '{bullet} ') AS line FROM {q}w WHERE refs = 0 AND NOT {drops})",
+        f"{q}n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) AS i, line FROM {q}y)",
+    ]
+    last = f"{q}n"
+    if structure != "off":
+        ctes.append(folded(last, f"{q}o", keeps))
+        last = f"{q}o"
+    else:
+        ctes.append(f"{q}o AS (SELECT *, 0 AS hy, 0 AS me FROM {last})")
+        last = f"{q}o"
+    if structure == "aggressive":
+        ctes += [
+            f"{q}ma AS (SELECT *, {title_of('line')} AND coalesce({strip('lag(line) OVER (PARTITION BY doc_id ORDER BY i)')} <> '## SECTION: ' || {BARE}, true) AS titled FROM {last})",
+            f"{q}mb AS (SELECT doc_id, i, 1 AS part, line FROM {q}ma UNION ALL SELECT doc_id, i, 0, '## SECTION: ' || {BARE} FROM {q}ma WHERE titled)",
+            f"{q}mc AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, part) AS i, count(*) OVER (PARTITION BY doc_id) AS n, line FROM {q}mb)",
+            f"{q}md AS (SELECT doc_id, coalesce(min(i) FILTER (lower({BARE}) IN {NAMES}), CASE WHEN count(*) FILTER (i > n - 50 AND {ENTRY}) >= 5 THEN min(i) FILTER (i > n - 50 AND {ENTRY}) END) AS at FROM {q}mc GROUP BY doc_id)",
+            f"{q}me AS (SELECT doc_id, i, 1 AS part, line, 0 AS hy, 0 AS me FROM {q}mc UNION ALL SELECT doc_id, {q}md.at, 0, '## REFERENCES', 0, 0 FROM {q}md WHERE {q}md.at IS NOT NULL)",
+        ]
+        last = f"{q}me"
+    order = "i, part" if structure == "aggressive" else "i"
+    ctes.append(f"{q}j AS (SELECT doc_id, string_agg({line if keeps else 'line'}, chr(10) ORDER BY {order}) AS text FROM {last} GROUP BY doc_id)")
+    text = "regexp_replace(text, '^\\n+|\\n+$', '', 'g')" if keeps else strip("regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g')")
+    if collapse:
+        text = f"regexp_replace({text}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    gap = lambda a, b: f"coalesce((SELECT count(*) FROM {q}{a} z WHERE z.doc_id = {q}x.doc_id), 0) - coalesce((SELECT count(*) FROM {q}{b} z WHERE z.doc_id = {q}x.doc_id), 0)"
+    ctes.append(
+        f"{out} AS (SELECT {q}x.doc_id, coalesce({gone(text.replace('text', f'{q}j.text', 1), PRIVATE, CONTROL, ZERO_WIDTH, REPLACED)}, '') AS text, length({q}x.text)::INT AS input_len, ext AS normalized_extracted, profile AS text_profile, "
+        f"({gap('t', 'p')})::INT AS removed_boilerplate_lines, ({gap('p', 'q')})::INT AS removed_layout_noise_lines, ({gap('u', 'v')})::INT AS removed_header_footer_lines, ({gap('u', 'v')})::INT AS removed_repeated_lines, "
+        f"coalesce((SELECT sum(refs) FROM {q}w z WHERE z.doc_id = {q}x.doc_id), 0)::INT AS removed_references_lines, (coalesce((SELECT count(*) FROM {q}w z WHERE z.doc_id = {q}x.doc_id AND refs = 0), 0) - coalesce((SELECT count(*) FROM {q}y z WHERE z.doc_id = {q}x.doc_id), 0))::INT AS removed_toc_lines, "
+        f"(SELECT count(*) FROM {q}t z WHERE z.doc_id = {q}x.doc_id) AS n_lines, coalesce((SELECT max(hy) FROM {q}o z WHERE z.doc_id = {q}x.doc_id), 0) AS hy, coalesce((SELECT max(me) FROM {q}o z WHERE z.doc_id = {q}x.doc_id), 0) AS me FROM {q}x LEFT JOIN {q}j USING (doc_id))"
+    )
+    return ", ".join(ctes)
+
+
+def refined_sql(select: str = "", **setting: str) -> str:
+    columns = "doc_id, text, input_len, length(text)::INT AS output_len, normalized_extracted, text_profile, " + ", ".join(c for c in COUNTERS)
+    recursive = PROFILE.replace("{0}", LINES).replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"{recursive}, {refined('z', **setting)} SELECT {select or columns} FROM z"
+
+
+def questions() -> str:
+    """CTEs over d (doc_id, text): qs (qid, doc_id, question, answer)."""
+    tokens = lambda x: f"regexp_extract_all({x}, '{P.TOKEN}')"
+    return (
+        f"{SENTENCE_CTES}, qa AS (SELECT *, lower(sentence) AS low, {INFORMATIVE} AS score FROM k), "
+        "qb AS (SELECT *, max(score) OVER (PARTITION BY doc_id, low) AS best, row_number() OVER (PARTITION BY doc_id, low ORDER BY score DESC, pos) AS copy FROM qa), "
+        f"qc AS (SELECT *, best < 0 AND len(t) BETWEEN 10 AND 35 AND NOT regexp_matches(lower(sentence), '{P.BOILERPLATE_TERMS}') AND regexp_matches(sentence, '\\S') AS spare FROM qb), "
+        "qd AS (SELECT * FROM qc WHERE copy = 1 AND (score >= 0 OR spare)), "
+        "qe AS (SELECT *, count(*) FILTER (score >= 0) OVER (PARTITION BY doc_id) AS strong, row_number() OVER (PARTITION BY doc_id ORDER BY spare, CASE WHEN NOT spare THEN -score END, pos) AS n FROM qd), "
+        f"qf AS (SELECT *, row_number() OVER (ORDER BY doc_id, n) AS number FROM qe WHERE n <= CASE WHEN strong >= {P.LEAST} THEN least(strong, {P.WANTED}) ELSE {P.LEAST} END), "
+        f"qg AS (SELECT qf.*, {tokens('CASE WHEN instr(text, sentence) > 0 THEN substring(text, instr(text, sentence), 1200) ELSE sentence END')} AS tail FROM qf JOIN d USING (doc_id)), "
+        "qs AS (SELECT format('q{:04d}', number) AS qid, doc_id, CASE number % 3 " + " ".join(f"WHEN {i} THEN '{a}' || {FOCUS} || '{b}'" for i, (a, b) in enumerate(P.TEMPLATES)) + " END AS question, "
+        "array_to_string(CASE WHEN len(tail) >= 20 THEN tail[1:28] WHEN len(t) >= 20 THEN t[1:40] WHEN len(list_concat(t, tail)) >= 20 THEN list_concat(t, tail)[1:20] ELSE list_concat(t, tail) END, ' ') AS answer FROM qg)"
+    )
+
+
 NOISE = f"({SINGLE} OR (length({BARE}) >= 12 AND (({count(BARE, chr(92) + 's')} <= 1 AND length({BARE}) >= 30 AND {_MARKS} >= 0.65) OR ({_MARKS} >= 0.75 AND {_LETTERS} <= 0.10))))"
 OVERVIEW = (
     LINES + ", " + BLOCKS.replace("{l}", "l") + f", e0 AS (SELECT doc_id, text FROM documents), {_lines('e0', 'k')}, "
@@ -221,7 +335,72 @@ def oracle_sql() -> dict[str, str]:
     strict = strip("regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g')")
     gaps = "regexp_replace({0}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
     drop = "|".join(["send offprint requests to:", "article number, page \\d+ of \\d+"])
+    titles = f"e0 AS (SELECT doc_id AS qid, doc_id AS expected, substring(string_split(text, chr(10))[1], 1, 120) AS title FROM d), e AS (SELECT * FROM e0 WHERE {strip('title')} <> '')"
+    top = (
+        f"WITH {C}, {CHUNKS.replace('{i}', 'd').replace('{o}', 'k')}, {embedding('k', 'doc_id, chunk_index', 'chunk', 'v')}, {titles}, {embedding('e', 'qid', 'title', 'q')}, "
+        "s AS (SELECT qid, doc_id, chunk_index, round(sum(q.weight * v.weight), 9) AS score FROM q JOIN v USING (dim) GROUP BY ALL), "
+        "t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_index) AS rank FROM s QUALIFY rank <= 10), "
+        "b AS (SELECT qid, doc_id, min(rank) AS best FROM t GROUP BY ALL), r AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY best) AS rank FROM b), "
+    )
+    placed = lambda table: f"m AS (SELECT e.qid, expected, min(rank) FILTER (doc_id = expected) AS place FROM e LEFT JOIN {table} x USING (qid) GROUP BY ALL), x AS (SELECT qid, expected, coalesce(1.0::DOUBLE / place, 0) AS mrr, " + ", ".join(f"coalesce((place <= {k})::INT, 0) AS recall_{k}" for k in (1, 5, 10)) + " FROM m)"
+    light = {"collapse": False, "repeated": "auto"}
+    three = (
+        PROFILE.replace("{0}", LINES) + f", {refined('vs')}, {refined('vl', **light)}, "
+        "va AS (SELECT 'raw' AS variant, doc_id, text, length(text)::INT AS input_len, false AS normalized_extracted, 0 AS removed_toc_lines, 0 AS removed_header_footer_lines, 0 AS removed_layout_noise_lines FROM d UNION ALL "
+        + " UNION ALL ".join(f"SELECT '{v}', doc_id, text, input_len, normalized_extracted, removed_toc_lines, removed_header_footer_lines, removed_layout_noise_lines FROM {t}" for v, t in (("safe", "vs"), ("light", "vl"))) + ")"
+    )
+    settings = {"plain": {}, "light": light, "aggressive": {"structure": "aggressive"}, "drops": {"repeated": "auto", "references": "auto"}, "structure": {"structure": "light", "noise": "off"}}
+
+    def some(names: tuple[str, ...]) -> str:
+        columns = "doc_id, text, input_len, normalized_extracted, removed_header_footer_lines AS removed_header_footer, removed_layout_noise_lines AS removed_layout_noise, hy::INT AS n_hyphen_fix, me::INT AS n_paragraph_merge, n_lines"
+        parts = [f"SELECT '{v}' AS variant, {columns} FROM v{i}" for i, v in enumerate(names)]
+        ctes = ", ".join(refined(f"v{i}", **settings[v]) for i, v in enumerate(names))
+        raw = "SELECT 'raw' AS variant, doc_id, text, length(text)::INT AS input_len, false AS normalized_extracted, 0 AS removed_header_footer, 0 AS removed_layout_noise, 0 AS n_hyphen_fix, 0 AS n_paragraph_merge, 0 AS n_lines FROM d"
+        return PROFILE.replace("{0}", LINES).replace("WITH ", "WITH RECURSIVE ", 1) + f", {ctes}, va AS ({' UNION ALL '.join([raw, *parts])})"
+
+    evaluated = (
+        f"{three}, {questions()}, va2 AS (SELECT variant || '/' || doc_id AS doc_id, text FROM va), {CHUNKS.replace('{i}', 'va2').replace('{o}', 'ck')}, {embedding('ck', 'doc_id, chunk_index', 'chunk', 'ev')}, {embedding('qs', 'qid', 'question', 'eq')}, "
+        "es AS (SELECT qid, doc_id, chunk_index, round(sum(eq.weight * ev.weight), 9) AS score FROM eq JOIN ev USING (dim) GROUP BY ALL), "
+        "et AS (SELECT qid, split_part(doc_id, '/', 1) AS variant, split_part(doc_id, '/', 2)::BIGINT AS doc, row_number() OVER (PARTITION BY qid, split_part(doc_id, '/', 1) ORDER BY score DESC, split_part(doc_id, '/', 2)::BIGINT, chunk_index) AS rank FROM es QUALIFY rank <= 10), "
+        "ea AS (SELECT qid, variant, doc, min(rank) AS best FROM et GROUP BY ALL), eb AS (SELECT qid, variant, doc, row_number() OVER (PARTITION BY qid, variant ORDER BY best) AS rank FROM ea), "
+        "ep AS (SELECT qs.qid, u.v AS variant, qs.doc_id, (SELECT min(rank) FROM eb WHERE eb.qid = qs.qid AND eb.variant = u.v AND eb.doc = qs.doc_id) AS place FROM qs, unnest(['raw', 'safe', 'light']) AS u(v)), "
+        "x AS (SELECT qid, variant, doc_id, coalesce(1.0::DOUBLE / place, 0) AS mrr, " + ", ".join(f"coalesce((place <= {k})::INT, 0) AS recall_{k}" for k in (1, 5, 10)) + " FROM ep), "
+        "c AS (SELECT x.*, b.mrr AS raw_mrr, b.recall_1 AS raw_recall_1, x.mrr - b.mrr AS delta FROM x JOIN x b ON x.qid = b.qid AND b.variant = 'raw' AND x.variant <> 'raw')"
+    )
     return {
+        "retrieval_variants": f"{evaluated}, a AS (SELECT variant, avg(mrr) AS mrr, avg(recall_1) AS recall_1, avg(recall_5) AS recall_5, avg(recall_10) AS recall_10, count(*) AS count FROM x GROUP BY variant) "
+        "SELECT variant, round(mrr, 9) AS mrr, round(recall_1, 9) AS recall_1, round(recall_5, 9) AS recall_5, round(recall_10, 9) AS recall_10, round(mrr - (SELECT mrr FROM a WHERE variant = 'raw'), 9) AS delta_mrr_vs_raw, count FROM a",
+        "retrieval_losses": f"{evaluated} SELECT qid, variant, round(delta, 9) AS delta FROM c WHERE raw_recall_1 > recall_1",
+        "retrieval_wins": f"{evaluated} SELECT qid, c.doc_id, round(delta, 9) AS delta, normalized_extracted, removed_header_footer_lines AS removed_header_footer, removed_layout_noise_lines AS removed_layout_noise, 0 AS n_hyphen_fix, 0 AS n_paragraph_merge, "
+        "length(text)::INT AS output_len FROM c JOIN va ON c.doc_id = va.doc_id AND c.variant = va.variant WHERE c.variant = 'light' AND delta > 0",
+        "retrieval_extremes": f"{evaluated}, z AS (SELECT qid, variant, round(delta, 9) AS delta FROM c), i AS (SELECT 'improvements' AS section, variant, row_number() OVER (PARTITION BY variant ORDER BY delta DESC, qid)::INT AS n, qid, delta FROM z UNION ALL SELECT 'regressions', variant, row_number() OVER (PARTITION BY variant ORDER BY delta, qid)::INT, qid, delta FROM z) SELECT * FROM i WHERE n <= 10",
+        "retrieval_best_variant": f"{evaluated} SELECT variant, round(avg(mrr), 9) AS mrr FROM x GROUP BY variant ORDER BY round(avg(mrr), 12) DESC, variant LIMIT 1",
+        "variant_summary": f"{three} SELECT variant, count(*) AS docs, sum(input_len)::BIGINT AS input_len, sum(length(text))::BIGINT AS output_len, sum(removed_toc_lines)::BIGINT AS toc_lines, count(*) FILTER (normalized_extracted) AS extracted FROM va GROUP BY variant",
+        "variant_documents": some(tuple(settings)) + " SELECT doc_id, variant, input_len, length(text)::INT AS output_len, normalized_extracted, removed_header_footer, removed_layout_noise, n_hyphen_fix, n_paragraph_merge FROM va",
+        "variant_export": some(("plain", "drops", "structure")) + " SELECT doc_id, variant, input_len, length(text)::INT AS output_len, md5(text) AS text_md5, CASE WHEN n_lines > 0 THEN (n_lines + n_hyphen_fix + n_paragraph_merge)::INT END AS n_decisions FROM va WHERE variant <> 'raw'",
+        "variant_removed": PROFILE.replace("{0}", LINES) + f", {refined('v', **settings['drops'])}, raw AS (SELECT l.*, vt.line AS clean, CASE WHEN vp.line IS NULL THEN 'boilerplate' WHEN vq.line IS NULL THEN 'layout_noise' WHEN vu.line IS NULL THEN 'toc_navigation' WHEN vw.line IS NULL THEN 'header_footer' "
+        f"WHEN refs = 1 THEN 'references_section' WHEN vy.line IS NULL THEN 'toc' END AS removal_type FROM l JOIN vt USING (doc_id, line_idx) LEFT JOIN vp USING (doc_id, line_idx) LEFT JOIN vq USING (doc_id, line_idx) LEFT JOIN vu USING (doc_id, line_idx) LEFT JOIN vw USING (doc_id, line_idx) LEFT JOIN vy USING (doc_id, line_idx)) "
+        "SELECT doc_id, line_idx, removal_type, line AS raw_text, CASE WHEN contains(line, chr(39)) AND NOT contains(line, chr(34)) THEN chr(34) || line || chr(34) ELSE chr(39) || replace(replace(line, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)) || chr(39) END AS repr_text FROM raw WHERE removal_type IS NOT NULL",
+        "retrieval_metrics": f"{top}{placed('r')} SELECT qid, expected, round(mrr, 9) AS mrr, recall_1, recall_5, recall_10 FROM x",
+        "retrieval_titles": f"{top}{placed('r')} SELECT round(avg(mrr), 9) AS mrr, round(avg(recall_1), 9) AS recall_1, round(avg(recall_5), 9) AS recall_5, round(avg(recall_10), 9) AS recall_10, count(*) AS n_queries FROM x",
+        "retrieval_chunk_metrics": f"{top}{placed('t')} SELECT qid, round(mrr, 9) AS mrr, recall_1, recall_5, recall_10 FROM x",
+        "retrieval_questions": f"WITH {C}, {questions()} SELECT qid, doc_id, question, answer FROM qs",
+        "retrieval_best_chunk": f"WITH {C}, {questions()}, {CHUNKS.replace('{i}', 'd').replace('{o}', 'ck')}, "
+        f"bs AS (SELECT qid, doc_id, chunk_index, contains(lower(chunk), lower(answer)) AND length(answer) > 0 AS holds, list_distinct(list_transform(regexp_extract_all(answer, '{P.TOKEN}'), lambda x: lower(x))) AS w, list_distinct(list_transform(regexp_extract_all(chunk, '{P.TOKEN}'), lambda x: lower(x))) AS c FROM ck JOIN qs USING (doc_id)), "
+        "br AS (SELECT qid, doc_id, chunk_index, holds, len(list_intersect(w, c)) / greatest(len(w), 1) AS share FROM bs) "
+        "SELECT qid, doc_id, chunk_index, holds FROM br WHERE holds OR share > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY holds DESC, CASE WHEN NOT holds THEN -share END, chunk_index) = 1",
+        "retrieval_top_k_json": f"{TOPK} SELECT qid, '[' || string_agg('{{\"doc_id\":' || doc_id || ',\"chunk_index\":' || chunk_index || ',\"d\":' || round(1 - round(score, 9), 4) || '}}', ',' ORDER BY rank) || ']' AS topk FROM t GROUP BY qid",
+        "refine_safe": refined_sql(),
+        "refine_strict": refined_sql(profile="strict", references="on", structure="light"),
+        "refine_light": refined_sql(extracted="on", repeated="on", collapse=False),
+        "refine_markdown": refined_sql(profile="markdown_safe"),
+        "refine_aggressive": refined_sql(noise="on", references="on", structure="aggressive"),
+        "refine_paragraphs": refined_sql("doc_id, text", extracted="off", structure="light"),
+        "refine_stream": refined_sql("z.doc_id, (SELECT d.text FROM d WHERE d.doc_id = z.doc_id) AS text, z.text AS refined"),
+        "text_normalize": f"WITH {D} SELECT doc_id, nfc_normalize(text) AS text FROM d",
+        "text_unescape": f"SELECT page_id, sha1({unescaped('html')}) AS html_sha1 FROM pages",
+        "html_strings": "WITH a AS (SELECT page_id, list_filter(string_split_regex(regexp_replace(regexp_replace(html, '(?s)<(script|style|noscript)\\b.*?</(script|style|noscript)>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g'), '<[^>]*>'), lambda x: x <> '') AS parts FROM pages) "
+        f"SELECT page_id, {strip('regexp_replace(regexp_replace(' + unescaped('array_to_string(parts, chr(10))') + ', chr(92) || chr(110) || chr(123) || chr(51) || chr(44) || chr(125), chr(10) || chr(10), chr(103)), chr(91) || chr(32) || chr(9) || chr(93) || chr(123) || chr(50) || chr(44) || chr(125), chr(32), chr(103))')} AS text FROM a",
         "text_pollution": f"WITH {D} SELECT doc_id, {', '.join(f'{x}::INT AS {n}' for n, x in POLLUTION.items())}, {polluted} OR {POLLUTION['entities']} >= 3 AS polluted FROM d",
         "text_artifact_removal": f"WITH {D} SELECT doc_id, {digest('out', removed)} FROM d",
         "text_typographic": f"WITH {D} SELECT doc_id, {digest('out', typo)} FROM d",
@@ -254,13 +433,7 @@ def oracle_sql() -> dict[str, str]:
         "SELECT doc_id, chunk_index, CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END AS page_span FROM s",
         "hash_embedding": f"WITH {C}, {CHUNKS.replace('{i}', 'd').replace('{o}', 'k')}, {embedding('k', 'doc_id, chunk_index', 'chunk', 'v')} SELECT doc_id, chunk_index, dim, round(weight, 7) AS weight FROM v",
         "retrieval_top_k": f"{TOPK} SELECT qid, doc_id, chunk_index, round(score, 6) AS score, rank::INT AS rank FROM t",
-        "retrieval_metrics": f"{UNIQUE}, e AS (SELECT qid, arg_max(doc_id, rank) AS expected FROM r GROUP BY qid), m AS (SELECT e.qid, expected, min(rank) FILTER (doc_id = expected) AS place FROM e LEFT JOIN r USING (qid) GROUP BY ALL) "
-        "SELECT qid, expected, round(coalesce(1.0::DOUBLE / place, 0), 9) AS mrr, " + ", ".join(f"coalesce((place <= {k})::INT, 0) AS recall_{k}" for k in (1, 5, 10)) + " FROM m",
         "retrieval_sentences": f"{SENTENCES} SELECT doc_id, pos, {INFORMATIVE} AS score, {FOCUS} AS focus FROM k",
-        "retrieval_variants": f"{VARIANTS}, a AS (SELECT variant, avg(mrr) AS mrr, avg(recall_1) AS recall_1, avg(recall_5) AS recall_5, avg(recall_10) AS recall_10, count(*) AS count FROM x GROUP BY variant) "
-        "SELECT variant, round(mrr, 9) AS mrr, round(recall_1, 9) AS recall_1, round(recall_5, 9) AS recall_5, round(recall_10, 9) AS recall_10, round(mrr - (SELECT mrr FROM a WHERE variant = 'raw'), 9) AS delta_mrr_vs_raw, count FROM a",
-        "retrieval_losses": f"{VARIANTS} SELECT qid, variant, round(delta, 9) AS delta FROM c WHERE raw_recall_1 > recall_1",
-        "retrieval_wins": f"{VARIANTS} SELECT qid, round(delta, 9) AS delta FROM c WHERE variant = 'light' AND delta > 0",
         "lines_changed": f"WITH {D}, e AS (SELECT doc_id, text FROM documents), {_lines()}, {_lines('e', 'k')}, b AS (SELECT doc_id, line, count(*) AS n FROM l GROUP BY ALL), a AS (SELECT doc_id, line, count(*) AS n FROM k GROUP BY ALL) "
         "SELECT doc_id, line, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after FROM a FULL JOIN b USING (doc_id, line) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)",
         "lines_added": f"WITH {D}, e AS (SELECT doc_id, text FROM documents), {_lines()}, {_lines('e', 'k')} SELECT doc_id, line_idx, line FROM l ANTI JOIN k USING (doc_id, line)",
@@ -269,14 +442,6 @@ def oracle_sql() -> dict[str, str]:
         "line_layout_noise": f"{LINES} SELECT doc_id, line_idx, {NOISE} AS noise, {BARE} = '' OR regexp_matches(lower(line), '{P.BOILERPLATE_TERMS}') OR {DOTTED} OR {BOILERPLATE} AS boilerplate FROM l",
         "line_overview": OVERVIEW,
         "line_dropped": f"{DECIDED} SELECT doc_id, line_idx, category, line, array_to_string(list_transform(CASE WHEN line = '' THEN [] ELSE string_split(line, '') END, lambda c: 'U+' || CASE WHEN unicode(c) < 65536 THEN lpad(hex(unicode(c)), 4, '0') ELSE hex(unicode(c)) END), ' ') AS codepoints FROM c WHERE category <> 'other'",
-        "retrieval_chunk_metrics": f"{TOPK}, e AS (SELECT qid, doc_id AS expected FROM t WHERE rank = 4), m AS (SELECT e.qid, min(rank) AS place FROM e JOIN t ON e.qid = t.qid AND t.doc_id = expected GROUP BY e.qid) SELECT qid, round(1.0::DOUBLE / place, 9) AS mrr, "
-        + ", ".join(f"(place <= {k})::INT AS recall_{k}" for k in (1, 5, 10)) + " FROM m",
-        "retrieval_best_chunk": f"WITH {C}, {CHUNKS.replace('{i}', 'd').replace('{o}', 'k')}, a AS (SELECT doc_id, substring(text, 1000, 200) AS answer FROM d), "
-        f"s AS (SELECT doc_id AS qid, chunk_index, contains(lower(chunk), lower(answer)) AND length(answer) > 0 AS holds, list_distinct(list_transform(regexp_extract_all(answer, '{P.TOKEN}'), lambda x: lower(x))) AS w, list_distinct(list_transform(regexp_extract_all(chunk, '{P.TOKEN}'), lambda x: lower(x))) AS c FROM k JOIN a USING (doc_id)), "
-        "r AS (SELECT qid, chunk_index, holds, len(list_intersect(w, c)) / greatest(len(w), 1) AS share FROM s) "
-        "SELECT qid, chunk_index, holds FROM r WHERE holds OR share > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY holds DESC, CASE WHEN NOT holds THEN -share END, chunk_index) = 1",
-        "retrieval_extremes": f"{VARIANTS}, z AS (SELECT qid, variant, round(delta, 9) AS delta FROM c), i AS (SELECT 'improvements' AS section, variant, row_number() OVER (PARTITION BY variant ORDER BY delta DESC, qid)::INT AS n, qid, delta FROM z UNION ALL SELECT 'regressions', variant, row_number() OVER (PARTITION BY variant ORDER BY delta, qid)::INT, qid, delta FROM z) SELECT * FROM i WHERE n <= 10",
-        "retrieval_best_variant": f"{VARIANTS} SELECT variant, round(avg(mrr), 9) AS mrr FROM x GROUP BY variant ORDER BY round(avg(mrr), 12) DESC, variant LIMIT 1",
         "text_totals": f"{LINES}, s AS ({_safe('l')}), t AS (SELECT doc_id, length(text) AS a, length({gaps.format('safe')}) AS b FROM d JOIN s USING (doc_id)) "
         "SELECT count(*) AS docs, sum(a)::BIGINT AS before, sum(b)::BIGINT AS after, round(sum(b) / sum(a), 9) AS ratio, arg_max(doc_id, (a - b, -doc_id)) AS most_compressed FROM t",
     }

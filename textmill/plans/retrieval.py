@@ -21,7 +21,9 @@ DIMENSIONS = 768
 TOKEN = "[A-Za-z0-9][A-Za-z0-9/_%-]*"
 STOPLIST = tuple("and for from into that the this with".split())
 #: The longer list, for question sets built from whole corpora.
-FULL_STOPLIST = tuple(sorted((*STOPLIST, *"a about also an are as at be been by can has have he in is it its of on or such their there these they to was we were which will".split())))
+FULL_STOPLIST = tuple(
+    "about after also and are before between each for from has have into more most only onto over such than that the their them then there they this under used using was were what when where which while will with you your".split()
+)
 BOILERPLATE_TERMS = "appendix|copyright|references|all rights reserved|table of contents"
 #: What stands before and after the focus, by the question's number.
 TEMPLATES = (("What does the document state about ", "?"), ("According to the document, what is said about ", "?"), ("What key point is made regarding ", "?"))
@@ -85,6 +87,17 @@ def _matrix(lists: list, dimensions: int) -> np.ndarray:
     return out
 
 
+def _largest(values: np.ndarray, k: int) -> np.ndarray:
+    """Per row the columns of the k largest values, in order of the columns; of equal values the first columns."""
+    if values.shape[1] <= k:
+        return np.tile(np.arange(values.shape[1]), (len(values), 1))
+    near = np.argpartition(values, -k, axis=1)[:, -k:]
+    least = np.take_along_axis(values, near, axis=1).min(axis=1, keepdims=True)
+    tied = np.flatnonzero((values >= least).sum(axis=1) > k)
+    near[tied] = np.argsort(-values[tied], axis=1, kind="stable")[:, :k]
+    return np.sort(near, axis=1)
+
+
 def _best(shared: Broadcast, k: int, per: int, dimensions: int, names: list[str]):
     """Sorted (per.., ids.., v) to (query number, score, per.., ids..): the k best of each query and group; of equal scores the earlier rows."""
 
@@ -114,11 +127,11 @@ def _best(shared: Broadcast, k: int, per: int, dimensions: int, names: list[str]
                     new = np.where((body != 0).astype(np.float32) @ some > 0, np.round(body @ asked, 9), -np.inf).T
                     rows = part.select(range(part.num_columns - 1))
                     before = 0 if held is None else held.num_rows
-                    both = np.concatenate([score, new], axis=1)
+                    near = _largest(new, k)
+                    both = np.concatenate([score, np.take_along_axis(new, near, axis=1)], axis=1)
                     order = np.argsort(-both, axis=1, kind="stable")[:, :k]
                     score = np.take_along_axis(both, order, axis=1)
-                    places = np.concatenate([row, np.tile(np.arange(before, before + len(body)), (len(row), 1))], axis=1)
-                    row = np.take_along_axis(places, order, axis=1)
+                    row = np.take_along_axis(np.concatenate([row, near + before], axis=1), order, axis=1)
                     used, row = np.unique(row, return_inverse=True)  # rows that no query wants are let go
                     row = row.reshape(score.shape)
                     joined = pa.Table.from_batches([rows] if held is None else [held, rows]).combine_chunks().to_batches()[0]
@@ -191,25 +204,27 @@ def against_baseline(rows: DataFrame, variant_col: str = "variant", query_col: s
     return rows.filter(F.col(variant_col) != baseline).join(base, query_col).withColumn("delta_mrr_vs_raw", F.col("mrr") - F.col("raw_mrr"))
 
 
+def _of_category(name: str):
+    return lambda d: d["category"] == name
+
+
 def doc_variants(refined: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, variant, ..): what refinement did to each document, of variants() with decisions."""
     r = F.col("report")
     return refined.select(
         id_col, "variant", r["input_len"].alias("input_len"), r["output_len"].alias("output_len"), r["normalized_extracted"].alias("normalized_extracted"),
         r["removed_header_footer_lines"].alias("removed_header_footer"), r["removed_layout_noise_lines"].alias("removed_layout_noise"),
-        *(F.size(F.filter(r["decisions"], lambda d, c=c: d["category"] == c)).alias(f"n_{c}") for c in ("hyphen_fix", "paragraph_merge")),
+        *(F.size(F.filter(r["decisions"], _of_category(c))).alias(f"n_{c}") for c in ("hyphen_fix", "paragraph_merge")),
     )
 
 
-SIGNALS = ("normalized_extracted", "removed_header_footer", "removed_layout_noise", "n_hyphen_fix", "n_paragraph_merge", "length_ratio")
+SIGNALS = {"normalized_extracted": False, "removed_header_footer": 0, "removed_layout_noise": 0, "n_hyphen_fix": 0, "n_paragraph_merge": 0, "output_len": None}
 
 
 def with_signals(rows: DataFrame, documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Evaluation rows (id, variant, ..) with the six signals of their document in that variant; what isn't known is false, 0, and a ratio of 1."""
-    ratio = F.when(F.col("input_len") > 0, F.col("output_len") / F.col("input_len"))
-    known = documents.select(id_col, "variant", *SIGNALS[:-1], ratio.alias("length_ratio"))
-    unknown = {c: F.lit(0) for c in SIGNALS} | {"normalized_extracted": F.lit(False), "length_ratio": F.lit(1.0)}
-    return rows.join(known, [id_col, "variant"], "left").select(*rows.columns, *(F.coalesce(c, unknown[c]).alias(c) for c in SIGNALS))
+    """Evaluation rows (id, variant, ..) with the six signals of their document in that variant, of doc_variants(); what isn't known is false, 0 or (length) null."""
+    known = documents.select(id_col, "variant", *SIGNALS)
+    return rows.join(known, [id_col, "variant"], "left").select(*rows.columns, *(F.coalesce(c, F.lit(v)).alias(c) for c, v in SIGNALS.items()))
 
 
 def live_summary(rows: DataFrame, documents: DataFrame, run: dict[str, str]) -> dict[str, DataFrame]:

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.config import VARIANTS
 from textmill.functions import text as X
 from textmill.operators import lines as L
 from textmill.operators import refine as R
@@ -311,15 +312,27 @@ def retrieval_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where light does better than raw, with the signals of the document."""
     rows = P.with_signals(P.against_baseline(_variant_rows(spark, sf_dir)).filter("variant = 'light' AND delta_mrr_vs_raw > 0"), _doc_variants(spark, sf_dir))
-    return rows.select("qid", "doc_id", F.round("delta_mrr_vs_raw", 9).alias("delta"), *P.SIGNALS[:-1], F.round("length_ratio", 9).alias("length_ratio"))
+    return rows.select("qid", "doc_id", F.round("delta_mrr_vs_raw", 9).alias("delta"), *P.SIGNALS)
 
 
-def _doc_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.doc_variants(R.variants(dirty(spark, sf_dir), SETTINGS, decisions=True))
+def _doc_variants(spark: SparkSession, sf_dir: str, settings: dict = SETTINGS) -> DataFrame:
+    return P.doc_variants(R.variants(dirty(spark, sf_dir), settings, decisions=True))
 
 
 def variant_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doc_variants(spark, sf_dir)
+    """What each of the six variants does to each document."""
+    return _doc_variants(spark, sf_dir, VARIANTS)
+
+
+def variant_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports.removed_rows(R.variants(dirty(spark, sf_dir), {"drops": VARIANTS["drops"]}, decisions=True))
+    return rows.select("doc_id", "line_idx", "removal_type", "raw_text", "repr_text")
+
+
+def variant_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that are exported as JSON lines, the number of decisions instead of them."""
+    rows = reports.variant_rows(R.variants(dirty(spark, sf_dir), {v: VARIANTS[v] for v in ("plain", "drops", "structure")}, decisions=True))
+    return rows.select("doc_id", "variant", "input_len", "output_len", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.size("decisions").alias("n_decisions"))
 
 
 def lines_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
