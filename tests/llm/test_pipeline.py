@@ -61,3 +61,28 @@ def test_stages_take_awkward_rows(spark, rows):
         assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"], name
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     assert docs.count() <= len(rows) and (not rows or docs.count())
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    names = ["taken", "size", "source_size", "target", "_key", "_id", "id", "n_words", "n_hit", "items", "spans", "lang_pred", "lang_score", "lang_ambiguous", "_name", "part", "asked"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    rows = [(*r[:5], *(f"{n}-{r[0]}" for n in names)) for r in with_repeats(documents(9, 20))]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        before = {(r.doc_id, r["_key"]) for r in docs.collect()}
+        docs = stage(spark, docs, SF)
+        assert docs.columns[: 5 + len(names)] == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.count() and {(r.doc_id, r["_key"]) for r in docs.collect()} <= before and all(r[n] == f"{n}-{r.doc_id}" for r in docs.collect() for n in names), name
+    assert docs.columns[-4:] == ["size_", "source_size_", "target_", "taken_"]
+
+
+def test_folders(spark):
+    import os
+
+    from textmill.llm.common import discard, shared_folder, written
+
+    table = written(spark.range(5))
+    assert table.count() == 5 and shared_folder(spark) == shared_folder(spark)
+    discard(table)
+    assert not os.path.exists(table._written)
