@@ -1,10 +1,10 @@
 """Benchmark decontamination: one Aho-Corasick automaton over all windows of the test questions and answers.
 
 Texts are normalised (A-Z lower-cased; words are runs of digits, a-z and non-ASCII bytes), and every word that an item
-has becomes one symbol, all others another; so the automaton has a node per word of a window, not per byte. Texts are
-scanned once. Matches are mapped back to words, and to character offsets of the original text.
+has becomes a code of CODE characters, all others another; so the automaton has CODE nodes per word of a window, not one
+per byte. Texts are scanned once, where as many words in a row have codes as the shortest window has. Matches are mapped back to words, and to character offsets of the original text.
 
-Every worker holds the automaton, so its nodes are counted first (words of the items times the window). Beyond
+Every worker holds the automaton, so its nodes are counted first (words of the items times window and CODE). Beyond
 MOST_NODES, items are spread over several automata, long ones in pieces that overlap; each scans the texts and writes
 what it found, rows of hit documents only, and the findings of a document are put together.
 
@@ -15,6 +15,7 @@ words, but no item. An empty benchmark marks nothing; an empty table stays empty
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -30,13 +31,15 @@ from . import kernels as K
 from .common import free_name, written
 
 WINDOW = 10
-#: About 100 MB of a worker, and 15 MB that are broadcast.
-MOST_NODES = 2_000_000
+#: About 120 MB of a worker, and 15 MB that are broadcast.
+MOST_NODES = 3_000_000
+#: Characters of a word's code: digits of its number to the base 64, each place with an alphabet of its own.
+CODE = 3
 PIECE_WORDS = 20_000
 KEEP = np.array([0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or 0x41 <= c <= 0x5A or c >= 0x80 for c in range(256)])
 LOWER = bytes((c + 32 if 0x41 <= c <= 0x5A else c) if KEEP[c] else 0x20 for c in range(256))
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-OTHER = "\0"
+OTHER = "\0" * CODE
 _BUILT: dict = {}
 
 
@@ -44,36 +47,32 @@ def normal_words(text: str | None) -> list[bytes]:
     return text.encode().translate(LOWER).split() if text else []
 
 
-class Symbols(dict):
-    """Words to characters; OTHER for words that have none."""
+def code(number: int) -> str:
+    return "".join(chr(1 + 64 * place + (number >> 6 * place) % 64) for place in range(CODE))
 
-    def __missing__(self, word: bytes) -> str:
-        return OTHER
 
-    def of(self, word: bytes) -> str:
-        if word not in self:
-            n = len(self) + 1
-            self[word] = chr(n if n < 0xD800 else n + 0x800)
-        return self[word]
-
-
-def patterns(items: list[tuple[str | None, str | None]], window: int) -> tuple[Symbols, dict[str, tuple[int, tuple[str, ...]]]]:
-    """The symbols of the words, and window (of symbols) to its number of words and the ids of the items that hold it."""
-    symbols = Symbols()
+def patterns(items: list[tuple[str | None, str | None]], window: int) -> tuple[dict[bytes, str], dict[str, tuple[int, tuple[str, ...]]]]:
+    """The codes of the words, and window (of codes) to its number of words and the ids of the items that hold it."""
+    codes: dict[bytes, str] = {}
     found: dict[str, tuple[int, set[str]]] = {}
     for item, text in items:
-        w = "".join(map(symbols.of, normal_words(text)))
+        w = [codes.setdefault(x, code(len(codes))) for x in normal_words(text)]
         for p in range(max(1, len(w) - window + 1) if w else 0):
             part = w[p : p + window]
-            ids = found.setdefault(part, (len(part), set()))[1]
+            ids = found.setdefault("".join(part), (len(part), set()))[1]
             if item is not None:
                 ids.add(item)
-    return symbols, {k: (n, tuple(sorted(ids))) for k, (n, ids) in found.items()}
+    if len(codes) > 64**CODE:
+        raise ValueError("more different words than codes")
+    return codes, {k: (n, tuple(sorted(ids))) for k, (n, ids) in found.items()}
+
+
+Scanner = tuple[dict[bytes, str], ahocorasick.Automaton | None, re.Pattern | None]
 
 
-def automaton(shared: Broadcast) -> tuple[Symbols, ahocorasick.Automaton | None]:
-    """The symbols and the automaton of this worker; None without patterns."""
-    me, symbols, found = shared.value
+def automaton(shared: Broadcast) -> Scanner:
+    """Codes, automaton (None without patterns), and the pattern of stretches that can hold a window, of this worker."""
+    me, codes, found = shared.value
     if me not in _BUILT:
         _BUILT.clear()
         built = ahocorasick.Automaton()
@@ -81,17 +80,24 @@ def automaton(shared: Broadcast) -> tuple[Symbols, ahocorasick.Automaton | None]
             built.add_word(key, value)
         if len(built):
             built.make_automaton()
-        _BUILT[me] = symbols, built if len(built) else None
+        least = min((n for n, _ in found.values()), default=1)
+        _BUILT[me] = codes, built if len(built) else None, re.compile("[^\0]{%d,}" % (CODE * least))
     return _BUILT[me]
 
 
-def scan(symbols: Symbols, built: ahocorasick.Automaton | None, text: str | None) -> tuple[int, np.ndarray, list[str]]:
+def scan(scanner: Scanner, text: str | None) -> tuple[int, np.ndarray, list[str]]:
     """Number of words, the hit ranges of words (rows of first, end), and the sorted ids of items with a match."""
+    codes, built, stretch = scanner
     w = normal_words(text)
-    matches = list(built.iter("".join(map(symbols.__getitem__, w)))) if w and built is not None else []
+    matches = []
+    if w and built is not None:
+        get = codes.get
+        coded = "".join([get(x, OTHER) for x in w])
+        for part in stretch.finditer(coded):
+            matches += [(part.start() + at, value) for at, value in built.iter(part.group())]
     if not matches:
         return len(w), np.zeros((0, 2), np.int64), []
-    end = np.array([m[0] for m in matches]) + 1
+    end = (np.array([m[0] for m in matches]) + 1) // CODE
     a, b = K.merged(end - np.array([m[1][0] for m in matches]), end)
     return len(w), np.stack([a, b], axis=1), sorted({x for m in matches for x in m[1][1]})
 
@@ -106,11 +112,11 @@ def original(text: str, hit: np.ndarray) -> list[dict[str, int]]:
 
 def _scanner(shared: Broadcast, text: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, built = automaton(shared)
+        scanner = automaton(shared)
         for batch in batches:
             n_words, n_hit, items, spans = [], [], [], []
             for value in batch.column(text).to_pylist():
-                n, hit, ids = scan(symbols, built, value)
+                n, hit, ids = scan(scanner, value)
                 n_words.append(n)
                 n_hit.append(int((hit[:, 1] - hit[:, 0]).sum()))
                 items.append(ids)
@@ -129,7 +135,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     """
     spark = docs.sparkSession
     asked = pieces_of(items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")), window)
-    nodes = asked.agg(F.sum(F.size("w") * window)).first()[0] or 0
+    nodes = asked.agg(F.sum(F.size("w") * window * CODE)).first()[0] or 0
     passes = max(1, -(-nodes // MOST_NODES))
     asked = asked.select("i", F.array_join("w", " ").alias("t"))
     share = lambda part: spark.sparkContext.broadcast((uuid.uuid4().hex, *patterns([tuple(r) for r in part.collect()], window)))
@@ -166,9 +172,9 @@ def _finder(shared: Broadcast):
     """(key, text) to HITS, of the texts with a hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, built = automaton(shared)
+        scanner = automaton(shared)
         for batch in batches:
-            rows = [(key, *scan(symbols, built, value)[1:]) for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = [(key, *scan(scanner, value)[1:]) for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             rows = [r for r in rows if len(r[1])]
             if rows:
                 columns = [[r[0] for r in rows], [r[1][:, 0].tolist() for r in rows], [r[1][:, 1].tolist() for r in rows], [r[2] for r in rows]]
