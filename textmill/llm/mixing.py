@@ -152,8 +152,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     pieces = pieces.select("_row", "_id", "_source", "block", (low - F.col("_at")).alias("first"), (high - low).alias("n"))
     drawn = drawn_slots(info, shard_slots, seed)
     used = drawn.groupBy("_source", "block").agg(F.count(F.lit(1)).alias("_times"))
-    taken = pieces.join(used, ["_source", "block"]).groupBy("_row").agg(F.sum(F.col("n") * F.col("_times")).alias("taken"))
-    documents = at.join(taken, "_row", "left").select(
+    taken = pieces.hint("merge").join(used, ["_source", "block"]).groupBy("_row").agg(F.sum(F.col("n") * F.col("_times")).alias("taken"))
+    documents = at.hint("merge").join(taken, "_row", "left").select(
         F.col("_id").alias(id_col), F.col("_name").alias(source_col), F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
     return documents, pieces.drop("_row").withColumnRenamed("_id", id_col), drawn
