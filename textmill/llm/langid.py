@@ -168,7 +168,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return fit(texts, labels)
 
 
-def _predictor(model: Model | None, text: int, names: list[str]):
+def _predictor(model: Model | None, text: int, names: list[str], ambiguous: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
@@ -178,19 +178,19 @@ def _predictor(model: Model | None, text: int, names: list[str]):
                 names_of = np.array(model.languages, object)
                 for i, j in K.blocks(offsets):
                     best, score, gap = model.decoded(model.margins(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-                    langs[i:j], scores[i:j], close[i:j] = names_of[best], score, gap < AMBIGUOUS * model.usual[best]
+                    langs[i:j], scores[i:j], close[i:j] = names_of[best], score, gap < ambiguous * model.usual[best]
                 langs[~letters], scores[~letters], close[~letters] = UNKNOWN, 0.0, True
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores), pa.array(close)], names=names)
 
     return run
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score and lang_ambiguous (a name in use is lengthened)."""
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", ambiguous: float = AMBIGUOUS) -> DataFrame:
+    """docs with lang_pred, lang_score and lang_ambiguous (a name in use is lengthened); ambiguous: how small a part of the usual gap is flagged."""
     letters = docs.withColumn(free_name(docs, "_letters"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     extra = [("lang_pred", T.StringType()), ("lang_score", T.DoubleType()), ("lang_ambiguous", T.BooleanType())]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(free_name(docs, n), t) for n, t in extra)])
-    return letters.mapInArrow(_predictor(model, docs.columns.index(text_col), schema.names), schema)
+    return letters.mapInArrow(_predictor(model, docs.columns.index(text_col), schema.names, ambiguous), schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):
