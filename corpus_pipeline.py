@@ -19,10 +19,14 @@ from textmill.llm import decontam, langid, mixing, simhash, substring_dedup
 from textmill.llm.common import discard, free_name, keyed, written
 
 
+#: Only documents in about even halves of two languages go: the part of the usual gap that op8 flags is four times this.
+EVEN_HALVES = 0.1
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found and not ambiguous. Null texts and texts without a letter have none, so they go; so does all if no document has a label to learn from. Repeated rows are decided alike."""
+    """Documents whose language is found, and that aren't of two languages alike. Null texts and texts without a letter have none, so they go; so does all if no document has a label to learn from. Repeated rows are decided alike."""
     model = langid.train(docs.filter(~langid.held_out()))
-    found = langid.predict(docs, model)
+    found = langid.predict(docs, model, ambiguous=EVEN_HALVES)
     language, _, ambiguous = found.columns[-3:]
     return found.filter((F.col(language) != langid.UNKNOWN) & ~F.col(ambiguous)).select(*docs.columns)
 

@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 def test_run_matches_stage_by_stage_brute_force(spark):
     rows = sorted((r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     table = spark.read.parquet(f"{SF}/documents.parquet")
-    found = langid.predict(table, langid.train(table.filter(~langid.held_out()))).collect()
+    found = langid.predict(table, langid.train(table.filter(~langid.held_out())), ambiguous=corpus_pipeline.EVEN_HALVES).collect()
     sure = {r.doc_id for r in found if r.lang_pred != "und" and not r.lang_ambiguous}
     rows = [r for r in rows if r[0] in sure]
     group = groups([t for _, t, _ in rows], simhash.MOST)[0]
