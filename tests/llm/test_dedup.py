@@ -103,6 +103,21 @@ def test_bytes(spark, repeats):
     assert sorted((r[0] is None, r[0] or 0, bytes(r["kept_"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in found) == sorted(want)
 
 
+@pytest.mark.parametrize("most", [4096, 5])
+def test_one_route_in_every_row(spark, monkeypatch, most):
+    """The same 90 bytes in all documents, between sides that differ, or agree for some bytes: one route, of more pieces than a shard may have."""
+    import random
+
+    monkeypatch.setattr(suffix_dedup, "ROUTE_PIECES", most)
+    rng = random.Random(8)
+    core = "".join(rng.choice("abcdefghij") for _ in range(90))
+    sides = ["".join(rng.choice("klmnop") for _ in range(12)) for _ in range(9)]
+    rows = [(i, f"{i}{rng.choice(sides)}{core}{rng.choice(sides)}{i}") for i in range(200)]
+    found = {r.doc_id: r for r in suffix_dedup.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    for (i, text), gone in zip(rows, brute([r[1].encode() for r in rows], 100)):
+        assert bytes(found[i]["kept"]) == bytes(b for b, x in zip(text.encode(), gone) if not x)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert substring_dedup.dedup_passages(empty).count() == 0

@@ -50,11 +50,11 @@ def test_merged_ranges():
 
 @pytest.mark.parametrize("memory", [64, 1 << 28])
 @pytest.mark.parametrize("letters", [1, 2, 4, 200])
-def test_induced_sorting_gives_suffix_array_and_prefixes(letters, memory):
+def test_induced_sorting_gives_suffix_array_and_prefixes(letters, memory, tmp_path):
     rng = np.random.default_rng(letters)
     for n in (1, 2, 3, 50, 400):
         text = np.append(rng.integers(0, letters, n) + SHIFT, END).astype(np.uint16)
-        order, prefix = Sorter(text, 30, memory).run()
+        order, prefix = Sorter(text, 30, memory, str(tmp_path)).run()
         keys = [tuple(text[i : i + 30].tolist()) for i in order]
         assert sorted(order.tolist()) == list(range(n + 1)) and keys == sorted(keys)
         for i in range(1, n + 1):

@@ -3,10 +3,10 @@
 S*-suffixes (a descent before, an ascent after) are sorted by recursion on the sequence of their names; from them
 all L-type and then all S-type suffixes are induced, bucket by bucket. Induced tuples (position, common prefix with
 the tuple before) wait in a priority queue whose keys are the first characters; the least (or largest) key is popped
-in bulk and its predecessors are pushed, so every step is a vector operation over a whole bucket. Queues spill
-their oldest chunks to disk beyond `memory` bytes, and some arrays as long as the text are memory-mapped files then.
-But all tuples that have left a queue, the hashes, the types and the doubling stay in memory, many bytes for one of
-the text: a shard must fit memory.
+in bulk and its predecessors are pushed, so every step is a vector operation over a whole bucket. With a folder, queues
+spill their oldest chunks to it beyond `memory` bytes, and some arrays as long as the text are files there. What has
+left a queue, the hashes, the types and the doubling stay in memory, some 70 bytes for one of the text: whoever makes
+a shard bounds its size (`suffix_dedup` does).
 
 The common prefix of two induced neighbours is one more than the least common prefix between the suffixes that
 induced them; the queue keeps that minimum per key. Values are capped at `depth`, and suffixes that agree that far
@@ -28,20 +28,20 @@ SMALL_ALPHABET = 1024
 
 
 class Store:
-    """Arrays in memory, or in files of a spill folder once they are large."""
+    """Arrays in memory, or in files of a folder under `root`, if there is one, once they are large."""
 
-    def __init__(self, memory: int) -> None:
-        self.memory, self.folder, self.files = memory, None, 0
+    def __init__(self, memory: int, root: str | None) -> None:
+        self.memory, self.root, self.folder, self.files = memory, root, None, 0
 
     def path(self) -> str:
         if self.folder is None:
-            roots = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if d and os.path.isdir(d)]
-            self.folder = tempfile.mkdtemp(prefix="induced-", dir=roots[0] if roots else None)
+            os.makedirs(self.root, exist_ok=True)
+            self.folder = tempfile.mkdtemp(prefix="induced-", dir=self.root)
         self.files += 1
         return f"{self.folder}/{self.files}"
 
     def array(self, n: int, kind: type) -> np.ndarray:
-        if n * np.dtype(kind).itemsize <= self.memory // 8 or not n:
+        if self.root is None or n * np.dtype(kind).itemsize <= self.memory // 8 or not n:
             return np.zeros(n, kind)
         return np.memmap(self.path(), kind, "w+", shape=(n,))
 
@@ -60,7 +60,7 @@ class BulkQueue:
     def push(self, key: int, position: np.ndarray, prefix: np.ndarray) -> None:
         self.waiting.setdefault(key, []).append((position, prefix))
         self.held += position.nbytes + prefix.nbytes
-        if self.held > self.store.memory:
+        if self.store.root and self.held > self.store.memory:
             self._spill()
 
     def _spill(self) -> None:
@@ -109,8 +109,8 @@ def least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np
 class Sorter:
     """Sorts the suffixes of `text` (unsigned codes, the last one END and END nowhere else)."""
 
-    def __init__(self, text: np.ndarray, depth: int, memory: int = 256 << 20) -> None:
-        self.text, self.depth, self.store = text, depth, Store(memory)
+    def __init__(self, text: np.ndarray, depth: int, memory: int = 256 << 20, folder: str | None = None) -> None:
+        self.text, self.depth, self.store = text, depth, Store(memory, folder)
 
     def run(self) -> tuple[np.ndarray, np.ndarray]:
         """(suffix array, common prefix with the suffix before it, capped)."""

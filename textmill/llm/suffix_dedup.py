@@ -4,10 +4,11 @@ A suffix array over all bytes can't be shuffled (eight bytes and more per byte o
 share `window` bytes with another never reach a shard: `windows` routes all windows by their least k-gram, settles
 equal paths and k-grams with one path, and leaves the branching ones. Their bytes are cut at the k-gram into at
 most two pieces, which are routed by hash of three quarters of a window that all windows of a piece share; so a
-k-gram with very many contexts is spread, and pieces without a partner drop out. A shard is the concatenation of
-its pieces; `induced.Sorter` gives its suffix array and common prefixes, in memory: one route is never cut, so a route
-of very many different pieces may not fit. Neighbours
-with a common prefix of `window` are equal windows; all but the first by (document, byte) repeat.
+k-gram with very many contexts is spread, and pieces without a partner drop out. A route of more than ROUTE_PIECES
+pieces (counted over all data) is not sorted: its windows are grouped by their bytes, one by one. So a shard, which is
+the concatenation of its pieces, has a bounded size whatever the data; `induced.Sorter` gives its suffix array and
+common prefixes. Neighbours with a common prefix of `window` are equal windows; all but the first by (document, byte)
+repeat.
 
 Defined results: a null text is empty; texts shorter than `window` bytes lose none; copies lose all bytes of all
 but the first; rows that share an id are ordered by text. Other columns are kept.
@@ -25,13 +26,17 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 from . import windows as P
-from .common import free_name, keyed
+from .common import free_name, keyed, shared_folder, written
 from .induced import END, SEPARATOR, SHIFT, Sorter
 
 WINDOW, KMER = 100, 50
 #: body is null for a piece that equals an earlier one of its batch; n is its number of windows.
 PIECE = "route long, doc long, first int, n int, body binary"
 SHARD_BYTES = 1 << 20
+#: So a shard is under SHARD_BYTES and this many pieces of less than two windows.
+ROUTE_PIECES = 4096
+#: Of a shard's waiting tuples, beyond which they go to the shared folder, if that is a mounted one.
+QUEUE_BYTES = 8 << 20
 
 
 def _pieces(window: int, k: int):
@@ -77,7 +82,7 @@ def _pieces(window: int, k: int):
     return run
 
 
-def repeats_of(doc: np.ndarray, first: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def repeats_of(doc: np.ndarray, first: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(doc, start) of the windows of a shard's pieces that also start earlier."""
     n = len(doc)
     lengths = np.diff(offsets)
@@ -85,7 +90,7 @@ def repeats_of(doc: np.ndarray, first: np.ndarray, data: np.ndarray, offsets: np
     place = np.arange(len(data)) + np.repeat(np.arange(n), lengths)
     text[place] = data.astype(np.uint16) + SHIFT
     text[-1] = END
-    order, prefix = Sorter(text, window).run()
+    order, prefix = Sorter(text, window, QUEUE_BYTES, folder).run()
     begins = offsets[:-1] + np.arange(n)
     piece = np.searchsorted(begins, order, "right") - 1
     offset = order - begins[piece]
@@ -100,7 +105,7 @@ def repeats_of(doc: np.ndarray, first: np.ndarray, data: np.ndarray, offsets: np
     return d[again], s[again]
 
 
-def _shards(window: int, most: int):
+def _shards(window: int, most: int, folder: str | None):
     """Batches sorted by route to (doc, first, n). Pieces gather up to `most` bytes, cut between routes; equal pieces are one, and routes of one piece drop out."""
 
     def settled(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
@@ -124,7 +129,7 @@ def _shards(window: int, most: int):
         at = at[partner]
         if len(at):
             body, edges = K.buffers(table.column(4).take(pa.array(at)))
-            more = repeats_of(doc[at], first[at], body[edges[0] : edges[-1]], edges - edges[0], window)
+            more = repeats_of(doc[at], first[at], body[edges[0] : edges[-1]], edges - edges[0], window, folder)
             d, s = np.concatenate([d, more[0]]), np.concatenate([s, more[1]])
         if not len(d):
             return None
@@ -183,13 +188,32 @@ def _removed(text: int, spans: int, names: list[str]):
     return run
 
 
+def _one_by_one(pieces: DataFrame, window: int) -> DataFrame:
+    """(doc, first, n) of the windows of pieces that are also in an earlier one, by their bytes; no task holds a route.
+
+    A piece without bytes repeats one of its batch, and so do all its windows.
+    """
+    known = pieces.filter("body IS NULL").select("doc", "first", "n")
+    each = pieces.filter("body IS NOT NULL").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    each = each.select("doc", (F.col("first") + F.col("at")).alias("first"), F.expr(f"substring(body, at + 1, {window})").alias("body"))
+    # the first of equal windows is found by a minimum, combined before the shuffle
+    least = each.groupBy("body").agg(F.min(F.struct("doc", "first")).alias("lead"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("body", "lead")
+    found = each.join(least, "body").filter("lead.doc <> doc OR lead.first <> first")
+    return known.unionByName(found.select("doc", "first", F.lit(1).alias("n")))
+
+
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = KMER) -> DataFrame:
     """docs with kept (binary: the bytes that no earlier window covers), n_bytes, n_removed and n_spans (a name in use is lengthened)."""
     rows, key = keyed(docs, id_col, text_col, free_name(docs, "_key"))
     texts = rows.select(key, text_col)  # not renamed: both joins then share one shuffle of the texts
     marks = P.marked_paths(texts, "bytes", window, k)
-    pieces = P.requested(marks, texts).select(key, text_col, "asked").mapInArrow(_pieces(window, k), PIECE)
-    again = pieces.repartition("route").sortWithinPartitions("route").mapInArrow(_shards(window, SHARD_BYTES), "doc long, first int, n int")
+    pieces = written(P.requested(marks, texts).select(key, text_col, "asked").mapInArrow(_pieces(window, k), PIECE))
+    hot = written(pieces.filter("body IS NOT NULL").groupBy("route").count().filter(F.col("count") > ROUTE_PIECES).select("route", F.lit(True).alias("hot")))
+    some = not hot.isEmpty()
+    plain = pieces.join(hot, "route", "left_anti") if some else pieces
+    folder = shared_folder(docs.sparkSession).removeprefix("file://")
+    shards = plain.repartition("route").sortWithinPartitions("route").mapInArrow(_shards(window, SHARD_BYTES, folder if folder.startswith("/") else None), "doc long, first int, n int")
+    again = shards.unionByName(_one_by_one(pieces.join(hot, "route", "left_semi"), window)) if some else shards
     spans_name = free_name(docs, "spans")
     spans = P.ranges(marks, again, window).select(F.col("doc").alias(key), F.col("spans").alias(spans_name))
     joined = rows.join(spans, key, "left").select(*docs.columns, spans_name)
