@@ -103,7 +103,7 @@ def test_simhash_query_on_the_whole_table(spark):
     want = groups([t for _, t in docs], simhash.MOST)
     assert len(found) == len(docs)
     for (i, _), group, links, copies in zip(docs, *want):
-        assert (found[i].group_id, found[i].n_links, found[i].n_copies) == (docs[group][0], links, copies)
+        assert (found[i].class_id, found[i].n_links, found[i].n_copies) == (docs[group][0], links, copies)
 
 
 def nearest(ids, vectors, query, k):

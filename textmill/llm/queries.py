@@ -64,8 +64,9 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """class_id: of near duplicates, exact ones included; copy_id: of texts with the same fingerprint, n_copies of them; n_links: other fingerprints that are near."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "n_copies", "n_links", "group_id")
+    return found.select(F.col("id").alias("doc_id"), F.col("group_id").alias("class_id"), F.col("class_id").alias("copy_id"), "n_copies", "n_links")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
