@@ -3,6 +3,7 @@
 import json
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +213,19 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.range(1).select(io.doc_id_of(F.lit("https://a.b/c?d=é"))).first()[0] == "https_a_b_c_d_é"
     io.write_csv(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "c"), ["b", "a"])
     assert "".join(p.read_text() for p in (tmp_path / "c").glob("*.csv")).splitlines()[0] == "b,a"
+
+
+def test_kernels_hold_few_texts_at_a_time(spark):
+    """Arrow batches of all rows are given on in slices, and decisions without measures have no code points."""
+    rows = spark.createDataFrame([(i, f"line {i}\nSubmitted to x\n(cid:3)") for i in range(1000)], "doc_id long, text string").coalesce(1)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in R._sliced(batches))
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) <= R.SLICE
+    found = R.variants(rows, {"safe": ("safe", {})}, decisions=True, measures=False).select("doc_id", F.explode("report.decisions").alias("d")).select("doc_id", "d.*").collect()
+    assert len(found) == 2000 and all(r.codepoints is None and r.caps_ratio is None for r in found) and sum(r.category == "boilerplate" for r in found) == 1000
+
+
+def test_raw_preset_needs_no_kernel(spark):
+    rows = spark.createDataFrame([(1, "a\u00e9"), (2, None), (3, "")], "doc_id long, text string")
+    got = R.with_report(rows, "text", "doc_id", "raw")
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r.refined, r.report.input_len, r.report.output_len, r.report.text_profile, r.report.decisions) for r in got.orderBy("doc_id").collect()] == [("a\u00e9", 2, 2, "unknown", []), (None, 0, 0, "unknown", []), ("", 0, 0, "unknown", [])]
