@@ -229,3 +229,10 @@ def test_raw_preset_needs_no_kernel(spark):
     got = R.with_report(rows, "text", "doc_id", "raw")
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
     assert [(r.refined, r.report.input_len, r.report.output_len, r.report.text_profile, r.report.decisions) for r in got.orderBy("doc_id").collect()] == [("a\u00e9", 2, 2, "unknown", []), (None, 0, 0, "unknown", []), ("", 0, 0, "unknown", [])]
+
+
+def test_codepoints_of_any_text(spark):
+    texts = ["", "a", "\u00e9 \u20ac", "\U0001f600x\U0010ffff", "0\ue001", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.codepoints(F.col("t")).alias("a"), X.codepoints_joined(F.col("t")).alias("j")).orderBy("i").collect()
+    want = [None if t is None else [f"U+{ord(c):04X}" for c in t] for t in texts]
+    assert [r.a for r in rows] == want and [r.j for r in rows] == [None if w is None else " ".join(w) for w in want]
