@@ -236,3 +236,11 @@ def test_codepoints_of_any_text(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.codepoints(F.col("t")).alias("a"), X.codepoints_joined(F.col("t")).alias("j")).orderBy("i").collect()
     want = [None if t is None else [f"U+{ord(c):04X}" for c in t] for t in texts]
     assert [r.a for r in rows] == want and [r.j for r in rows] == [None if w is None else " ".join(w) for w in want]
+
+
+def test_line_windows_have_partitions_by_size(spark, monkeypatch):
+    rows = L.exploded(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"))
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    monkeypatch.setattr(L, "TASK_BYTES", -(-size // 23))
+    assert L.together(rows).rdd.getNumPartitions() == 23
+    assert L.together(spark.createDataFrame([(1, 0, "a")], "doc_id long, line_idx int, line string")).rdd.getNumPartitions() == 4

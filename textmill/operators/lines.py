@@ -37,6 +37,18 @@ def _order(id_col: Keys) -> Window:
     return Window.partitionBy(*_keys(id_col)).orderBy("line_idx")
 
 
+#: Bytes of input, by Spark's estimate, whose lines one task sorts.
+TASK_BYTES = 8 << 20
+
+
+def together(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A document's lines in one partition, and as many partitions as the input's size asks for: the windows of a stage each hold a partition, so it mustn't grow with the table."""
+    size = int(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = size < 1 << 50  # rows that don't come from files have no size
+    return lines.repartition(max(least, min(20_000, -(-size // TASK_BYTES))) if known else least, id_col)
+
+
 def noise_runs(lines: DataFrame, id_col: Keys = "doc_id") -> DataFrame:
     """lines with kind (single, axis or other), run, run_length and noise (8 single-character lines or 4 axis lines in a row)."""
     order = _order(id_col)
@@ -104,7 +116,7 @@ def decided(lines: DataFrame, id_col: str = "doc_id", bullet: str = "•") -> Da
         rows = rows.withColumn("category", F.when(F.col("live") & hit, category).otherwise(F.col("category")))
         return rows.withColumn("live", F.col("category") == "other").select(*columns)
 
-    rows = lines.repartition(id_col).withColumn("category", F.lit("other")).withColumn("live", F.lit(True))
+    rows = together(lines, id_col).withColumn("category", F.lit("other")).withColumn("live", F.lit(True))
     rows = dropped(rows, X.is_boilerplate(line), "boilerplate")
     rows = dropped(noise_runs(rows, [id_col, "live"]), F.col("noise"), "layout_noise")
     rows = dropped(rows, X.is_navigation(line), "toc_navigation")
