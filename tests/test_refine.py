@@ -1,12 +1,15 @@
 """The refiner's behaviour on small texts, and its quirks."""
 
 import json
+import re
+import tracemalloc
 import zipfile
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from textmill import semantics as S
 from textmill.config import PRESETS, RefineConfig, gate, resolve
 from textmill.functions import kernels as K
 from textmill.functions import text as X
@@ -105,6 +108,34 @@ def test_profiles():
     assert K.text_profile("a\nb\nc\n" * 10 + ("word " * 30 + "\n") * 10) == "ocr_like"
 
 
+def test_counts_of_code_points_are_those_of_the_patterns():
+    odd = "canción y y es\u2003a b c d e f\u00a0_a b c aaaaabbbbb\n\n\n\n\n\naaaa \ue000\ufffd\x80\u200b\U000e0001\U0001f600 \x1c\x85 \u00e9a b c9 x\ty\nz"
+    for text in [odd[i : i + n] for n in (1, 2, 4, 5, 6, 9, 40, len(odd)) for i in range(len(odd))]:
+        strange = sum(not (c.isprintable() or c.isspace()) for c in text)
+        want = (bool(re.search(S.PRIVATE, text)), bool(re.search(S.REPLACEMENT, text)), strange, len(re.findall(S.LONG_RUN, text)), len(re.findall(S.BROKEN_WORDS, text)))
+        assert K._counts(text) == want, text
+
+
+def test_lines_of_words_are_not_searched_for_units(monkeypatch):
+    searched = []
+    for name in ("UNITS", "CAPTION"):
+        monkeypatch.setattr(K, name, type("Searched", (), {"search": lambda self, line, p=getattr(K, name): searched.append(line) or p.search(line)})())
+    words = "A line of common words that goes on and on for more than ninety characters, as lines of texts from the web usually do."
+    assert run("glyph<a> (cid:3)\n" + f"{words}\n" * 20 + "0.1010 0.2020 0.3030 0.4040\n" * 4, "strict", drop_layout_noise="on")[1].removed_layout_noise_lines == 4
+    assert set(searched) == {"0.1010 0.2020 0.3030 0.4040"}
+
+
+def test_a_growing_paragraph_is_held_once():
+    text = "Start of a paragraph, then\n" + "lines that are joined to it one by one, without an end and\n" * 1000
+    tracemalloc.start()
+    try:
+        out = run(text, "strict")[0]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out == text.replace("\n", " ").strip() and peak < 60 * len(text)
+
+
 def test_entities_count():
     assert not K.polluted("&amp; &lt;") and K.polluted("&amp; &lt; &gt;")
 
