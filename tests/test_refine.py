@@ -110,9 +110,9 @@ def test_profiles():
 
 def test_counts_of_code_points_are_those_of_the_patterns():
     odd = "canción y y es\u2003a b c d e f\u00a0_a b c aaaaabbbbb\n\n\n\n\n\naaaa \ue000\ufffd\x80\u200b\U000e0001\U0001f600 \x1c\x85 \u00e9a b c9 x\ty\nz"
-    for text in [odd[i : i + n] for n in (1, 2, 4, 5, 6, 9, 40, len(odd)) for i in range(len(odd))]:
+    for text in [odd[i : i + n] for n in (1, 2, 4, 5, 6, 9, 40, len(odd)) for i in range(len(odd))] + [odd * 2000]:
         strange = sum(not (c.isprintable() or c.isspace()) for c in text)
-        want = (bool(re.search(S.PRIVATE, text)), bool(re.search(S.REPLACEMENT, text)), strange, len(re.findall(S.LONG_RUN, text)), len(re.findall(S.BROKEN_WORDS, text)))
+        want = (bool(re.search(S.PRIVATE, text)), bool(re.search(S.REPLACEMENT, text)), K.GONE_ALWAYS.search(text) is not None, strange, len(re.findall(S.LONG_RUN, text)), len(re.findall(S.BROKEN_WORDS, text)))
         assert K._counts(text) == want, text
 
 
